@@ -1,6 +1,6 @@
 """Every registered query with its SQL."""
 
-from gradeline.catalog import cohort, contracts, features, metrics, text  # noqa: F401
+from gradeline.catalog import cohort, contracts, features, metrics, terms, text  # noqa: F401
 from gradeline.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -268,7 +268,7 @@ _OUT = " union all ".join(f"""select target, '{f}' as feature, count({f}) as "co
 @query("outcome_summary", f"with {LABELLED} {_OUT}")
 def outcome_summary(spark, sf):
     """A5: distribution of every feature per outcome, long form."""
-    out = lexical.outcome_summary(labelled_lexical(spark, sf), FEATURES)
+    out = lexical.outcome_summary(labelled_lexical(spark, sf).persist(), FEATURES)
     return rounded(out.withColumn("std", r9("std", 7)))
 
 

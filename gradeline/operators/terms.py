@@ -24,15 +24,17 @@ def term_tokens(text: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*stop_words)) if stop_words else tokens
 
 
-def ngrams(tokens: Column, low: int, high: int) -> Column:
-    """All n-grams from ``low`` to ``high`` words, joined by one space."""
-    parts = []
-    for n in range(low, high + 1):
-        gram = tokens if n == 1 else F.when(
-            F.size(tokens) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-        parts.append(gram)
+def ngrams(tokens: str, low: int, high: int) -> Column:
+    """All n-grams from ``low`` to ``high`` words of a token column, joined by one space."""
+
+    def exactly(n: int) -> Column:
+        if n == 1:
+            return F.col(tokens)
+        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(F.col(tokens), i, n), " "))
+        return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    parts = [exactly(n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
@@ -40,7 +42,7 @@ def term_counts(docs: DataFrame, text: str, stop_words: Sequence[str], ngram_ran
                 key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
     """(key, keep..., term, tf). The texts are placed by key once, so no later step on the key moves them again."""
     tokens = docs.repartition(key).select(key, *keep, term_tokens(F.col(text), stop_words).alias("_t"))
-    exploded = tokens.select(key, *keep, F.explode(ngrams(F.col("_t"), *ngram_range)).alias("term"))
+    exploded = tokens.select(key, *keep, F.explode(ngrams("_t", *ngram_range)).alias("term"))
     return exploded.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -86,9 +88,9 @@ def empty_rows(docs: DataFrame, counts: DataFrame, vocab: DataFrame, key: str =
 def within_fields(docs: DataFrame, fields: Sequence[str], terms: DataFrame, stop_words: Sequence[str],
                   ngram_range: tuple[int, int], key: str = "doc_id") -> DataFrame:
     """Document counts of terms measured inside single fields, summed over the fields."""
-    per_field = F.concat(*[
-        F.array_distinct(ngrams(term_tokens(F.coalesce(F.col(f), F.lit("")), stop_words), *ngram_range)) for f in fields])
-    found = docs.select(F.explode(per_field).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("within_field_documents"))
+    tokens = docs.select(*[term_tokens(F.coalesce(F.col(f), F.lit("")), stop_words).alias(f"_t{i}") for i, f in enumerate(fields)])
+    per_field = F.concat(*[F.array_distinct(ngrams(f"_t{i}", *ngram_range)) for i in range(len(fields))])
+    found = tokens.select(F.explode(per_field).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("within_field_documents"))
     return F.broadcast(terms.select("term")).join(found, "term", "left").select(
         "term", F.coalesce("within_field_documents", F.lit(0)).alias("within_field_documents"))
 
