@@ -8,8 +8,9 @@ from gradeline import views
 from gradeline.catalog.base import query, r9, rounded, s9
 from gradeline.functions import columns as C
 from gradeline.functions import text as X
-from gradeline.operators import lexical, terms
+from gradeline.operators import lexical
 from gradeline.operators.ordering import exact_quantiles
+from gradeline.session import spread
 
 KEYWORDS = ("and", "the", "der", "les", "para", "with")
 STOP = ("the", "and", "of", "to", "in", "is", "la", "le", "de", "der", "die", "und", "el", "que")
@@ -35,7 +36,11 @@ LEX_OUT = f"""doc_id, {s9('case when n > 0 then 206.835::double - 1.015::double
 
 
 def documents(spark, sf):
-    return views.table(spark, sf, "documents")
+    return spread(views.table(spark, sf, "documents"), "doc_id")
+
+
+def pages(spark, sf):
+    return spread(views.table(spark, sf, "pages"), "page_id")
 
 
 def fields(spark, sf):
@@ -152,7 +157,7 @@ def length_summary(spark, sf):
   count(*) filter (html <> {SQUEEZE('html')}) as extra_whitespace_rows, cast(sum(len(regexp_extract_all(html, '</?[A-Za-z][^>]*>'))) as bigint) as tags, count(*) filter (regexp_matches(html, '(?i)borrower\\s+added\\s+on')) as wrapper_rows from pages""")
 def format_patterns(spark, sf):
     """A10: overlapping format-pattern counts over raw pages."""
-    return lexical.format_patterns(views.table(spark, sf, "pages"), "html")
+    return lexical.format_patterns(pages(spark, sf), "html")
 
 
 @query("unicode_changed")
@@ -164,7 +169,7 @@ def unicode_changed(spark, sf):
 @query("clean_pages")
 def clean_pages(spark, sf):
     """The shared cleaner over whole pages (unit tests compare it with brute force)."""
-    return views.table(spark, sf, "pages").select("page_id", X.clean_text(F.col("html")).alias("text"))
+    return pages(spark, sf).select("page_id", X.clean_text(F.col("html")).alias("text"))
 
 
 @query("length_coverage", f"""with n as (select {ITEMS('text')} as n from documents), c as (select unnest({CAPS}) as cap)
@@ -228,7 +233,7 @@ def cleaning_impact(spark, sf):
 @query("markup_impact")
 def markup_impact(spark, sf):
     """Word totals of raw pages against the shared cleaner's text."""
-    rows = views.table(spark, sf, "pages").select("html", X.clean_text(F.col("html")).alias("clean"))
+    rows = pages(spark, sf).select("html", X.clean_text(F.col("html")).alias("clean"))
     return rounded(lexical.cleaning_impact(rows, F.col("html"), F.col("clean")))
 
 

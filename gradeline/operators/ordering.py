@@ -116,7 +116,7 @@ def exact_quantiles(
     present = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     counts = present.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counts, "_x", {"_cum": "_n"}, by, range_bounds(present, "_x") if bounds is None else bounds)
-    sizes = present.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
     ranked = attach(ranked, sizes, by)
     asked = F.array(*[F.struct(F.lit(float(p)).alias("prob"), ((F.col("_size") - 1) * F.lit(float(p))).alias("h"))
                       for p in probs])

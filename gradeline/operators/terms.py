@@ -41,7 +41,8 @@ def ngrams(tokens: str, low: int, high: int) -> Column:
 def term_counts(docs: DataFrame, text: str, stop_words: Sequence[str], ngram_range: tuple[int, int] = (1, 1),
                 key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
     """(key, keep..., term, tf). The texts are placed by key once, so no later step on the key moves them again."""
-    tokens = docs.repartition(key).select(key, *keep, term_tokens(F.col(text), stop_words).alias("_t"))
+    places = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = docs.repartition(places, key).select(key, *keep, term_tokens(F.col(text), stop_words).alias("_t"))
     exploded = tokens.select(key, *keep, F.explode(ngrams("_t", *ngram_range)).alias("term"))
     return exploded.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -124,7 +124,7 @@ def fit_stacker(rows: DataFrame, tracks: Sequence[str]) -> tuple[list[float], fl
 
     weighted, total = models.with_class_weight(rows, balanced=False)
     vectors = VectorAssembler(inputCols=[fusion.score_column(t) for t in tracks], outputCol="features").transform(weighted)
-    model = models.linear_classifier(STACKER, total).fit(vectors)
+    model = models.linear_classifier(STACKER, total).fit(models.few_tasks(vectors, total))
     return model.coefficients.toArray().tolist(), float(model.intercept)
 
 

@@ -16,6 +16,7 @@ def local_session(cores: str = "*", app: str = "gradeline") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
@@ -40,3 +41,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast hint only after the row count is checked; a larger side keeps a shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Costly per-row work over an input with fewer splits than cores: place the rows by key first.
+
+    A large input already has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
