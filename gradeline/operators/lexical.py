@@ -46,9 +46,10 @@ def point_biserial(rows: DataFrame, features: Sequence[str], target: str = "targ
     """
     long = rows.unpivot([target], list(features), "feature", "x")
     summary = long.groupBy("feature").agg(
-        F.count("x").alias("n"), F.corr(F.col(target).cast("double"), "x").alias("r"), F.stddev_pop("x").alias("spread"),
+        F.count("x").alias("n"), ratio(F.covar_pop(F.col(target).cast("double"), "x"), F.stddev_pop(target) * F.stddev_pop("x")).alias("r"),
+        (F.min("x") < F.max("x")).alias("varies"),
         F.avg(F.when(F.col(target) == 0, F.col("x"))).alias("m0"), F.avg(F.when(F.col(target) == 1, F.col("x"))).alias("m1")).collect()
-    if flat := [s["feature"] for s in summary if not s["spread"]]:
+    if flat := [s["feature"] for s in summary if not s["varies"]]:
         raise ContractError(f"constant features have no correlation: {sorted(flat)}")
     out = [(s["feature"], s["r"], abs(s["r"]), correlation_p_value(s["r"], s["n"]), s["m0"], s["m1"], s["m1"] - s["m0"]) for s in summary]
     out.sort(key=lambda row: (-row[2], row[0]))
