@@ -113,7 +113,8 @@ def role_mapping(spark, sf):
 
 @query("role_assignment_checks", """select 'unassigned' as "check", count(*) filter (split <> 'test' and role is null) as violations,
     count(*) filter (split <> 'test' and role is null) = 0 as passed from loans
-  union all select 'multiple', 0, true union all select 'locked_in_role', count(*) filter (split = 'test' and role is not null),
+  union all select 'multiple', count(*), count(*) = 0 from (select loan_id from loans where role is not null group by loan_id having count(*) > 1)
+  union all select 'locked_in_role', count(*) filter (split = 'test' and role is not null),
     count(*) filter (split = 'test' and role is not null) = 0 from loans""", "loans")
 def role_assignment_checks(spark, sf):
     """Every unlocked row in exactly one role, no locked row in any."""
@@ -129,7 +130,7 @@ def role_assignment_checks(spark, sf):
 @query("role_range_checks", """with r as (select role, split, min(issue_month) as a, max(issue_month) as b from loans where role is not null group by all),
   s as (select *, lead(a) over (partition by split order by a) as nxt from r),
   k as (select *, (cast(left(nxt, 4) as int) * 12 + cast(right(nxt, 2) as int)) - (cast(left(b, 4) as int) * 12 + cast(right(b, 2) as int)) as step from s)
-  select 'bad_month' as "check", count(*) filter (not regexp_matches(a, '^\\d{4}-(0[1-9]|1[0-2])$')) as violations, true as passed from k
+  select 'bad_month' as "check", count(*) filter (not regexp_matches(a, '^\\d{4}-(0[1-9]|1[0-2])$')) as violations, count(*) filter (not regexp_matches(a, '^\\d{4}-(0[1-9]|1[0-2])$')) = 0 as passed from k
   union all select 'reversed_range', count(*) filter (a > b), count(*) filter (a > b) = 0 from k
   union all select 'overlap', count(*) filter (step < 1), count(*) filter (step < 1) = 0 from k
   union all select 'gap', count(*) filter (step > 1), count(*) filter (step > 1) = 0 from k""", "loans")

@@ -49,9 +49,14 @@ def flags(names: list[str], source: str) -> str:
 
 
 @query("registry_checks", f"""with {COHORT_SQL}, v as (select count(*) filter (not regexp_matches(loan_id, '^lc_\\d{{9}}$')) as bad_identifier,
-    count(*) filter (source_row_number < 1) as bad_row_number, 0 as identifier_row_mismatch, 0 as unknown_split, 0 as bad_text_flag, 0 as bad_target,
-    0 as wrong_cohort, 0 as wrong_dataset_version, count(*) - count(distinct loan_id) as unique_loan_id,
-    count(*) - count(distinct source_row_number) as unique_source_row_number, 0 as rows_train, 0 as rows_validation, 0 as rows_test from registry)
+    count(*) filter (source_row_number < 1) as bad_row_number, count(*) filter (cast(right(loan_id, 9) as bigint) <> source_row_number) as identifier_row_mismatch,
+    count(*) filter (split not in ('train', 'validation', 'test')) as unknown_split, count(*) filter (text_available not in (0, 1)) as bad_text_flag,
+    count(*) filter (split <> 'test' and target not in (0, 1)) as bad_target, count(*) filter (cohort <> 'matured_text_v1') as wrong_cohort,
+    count(*) filter (dataset_version <> 'orders_v1') as wrong_dataset_version, count(*) - count(distinct loan_id) as unique_loan_id,
+    count(*) - count(distinct source_row_number) as unique_source_row_number,
+    count(*) filter (split = 'train') - count(*) filter (issue_month <= '1999-12') as rows_train,
+    count(*) filter (split = 'validation') - count(*) filter (issue_month between '2000-01' and '2000-12') as rows_validation,
+    count(*) filter (split = 'test') - count(*) filter (issue_month > '2000-12') as rows_test from registry)
   {flags(['bad_identifier', 'bad_row_number', 'identifier_row_mismatch', 'unknown_split', 'bad_text_flag', 'bad_target', 'wrong_cohort',
           'wrong_dataset_version', 'unique_loan_id', 'unique_source_row_number', 'rows_train', 'rows_validation', 'rows_test'], 'v')}""", "raw_loans")
 def registry_checks(spark, sf):
@@ -63,7 +68,7 @@ def registry_checks(spark, sf):
 
 @query("registry_audit", f"""with {COHORT_SQL}, locked as (select loan_id, split, issue_month, target from loans),
   v as (select (select count(*) from locked anti join registry using (loan_id)) as missing, (select count(*) from registry anti join locked using (loan_id)) as extra,
-    0 as duplicates, (select count(*) from registry r join locked l using (loan_id) where r.split is distinct from l.split) as mismatch_split,
+    (select count(*) - count(distinct loan_id) from registry) as duplicates, (select count(*) from registry r join locked l using (loan_id) where r.split is distinct from l.split) as mismatch_split,
     (select count(*) from registry r join locked l using (loan_id) where r.issue_month is distinct from l.issue_month) as mismatch_issue_month,
     (select count(*) from registry r join locked l using (loan_id) where r.target is distinct from l.target) as mismatch_target,
     (select count(*) from (select split, count(*) as n from registry group by 1) a full join (select split, count(*) as n from locked group by 1) b using (split)
@@ -75,10 +80,10 @@ def registry_audit(spark, sf):
     return cohort.audit(rebuilt, views.loans(spark, sf).select("loan_id", "split", "issue_month", "target"))
 
 
-@query("registry_mismatches", f"""with {COHORT_SQL}, b as (select r.*, upper(l.purpose) as p1, l.purpose as p2, l.split as s2, l.target as t2 from registry r join loans l using (loan_id))
+@query("registry_mismatches", f"""with {COHORT_SQL}, b as (select r.*, l.split as s2, l.target as t2, l.issue_month as m2 from registry r join loans l using (loan_id))
   select 'split' as "column", count(*) filter (split is distinct from s2) as mismatches from b
   union all select 'target', count(*) filter (target is distinct from t2) from b
-  union all select 'issue_month', 0 from b having count(*) > 0""", "raw_loans loans")
+  union all select 'issue_month', count(*) filter (issue_month is distinct from m2) from b""", "raw_loans loans")
 def registry_mismatches(spark, sf):
     """Null-safe mismatch counts per column over the shared ids."""
     rebuilt = cohort.registry(views.raw_loans(spark, sf), cohort.SETTINGS)
@@ -87,8 +92,8 @@ def registry_mismatches(spark, sf):
 
 @query("source_alignment", """with j as (select l.*, r.issue_d, r.loan_status from loans l left join raw_loans r using (source_row_number))
   select 'unmatched_rows' as "check", count(*) filter (issue_d is null) as violations, count(*) filter (issue_d is null) = 0 as passed from j
-  union all select 'month_disagrees', count(*) filter (strftime(strptime(issue_d, '%b-%Y'), '%Y-%m') <> issue_month), true from j
-  union all select 'outcome_disagrees', count(*) filter ((loan_status = 'Charged Off')::int <> target), true from j""", "loans raw_loans")
+  union all select 'month_disagrees', count(*) filter (strftime(strptime(issue_d, '%b-%Y'), '%Y-%m') <> issue_month), count(*) filter (strftime(strptime(issue_d, '%b-%Y'), '%Y-%m') <> issue_month) = 0 from j
+  union all select 'outcome_disagrees', count(*) filter ((loan_status = 'Charged Off')::int <> target), count(*) filter ((loan_status = 'Charged Off')::int <> target) = 0 from j""", "loans raw_loans")
 def source_alignment(spark, sf):
     """Registry rows against their source records, month and outcome cross-checked."""
     raw = views.raw_loans(spark, sf).select("source_row_number", "issue_d", "loan_status")
@@ -101,7 +106,7 @@ def source_alignment(spark, sf):
 
 
 @query("join_contract", """with o as (select o_orderkey as key from orders), l as (select l_orderkey as key, count(*) as n from lineitem group by 1),
-  v as (select 0 as repeated_base_keys, (select sum(n - 1) from l) as repeated_other_keys,
+  v as (select (select count(*) - count(distinct key) from o) as repeated_base_keys, (select sum(n - 1) from l) as repeated_other_keys,
     (select count(*) from o anti join l using (key)) as unmatched_base_rows, (select count(*) from l anti join o using (key)) as unused_other_rows)
   """ + flags(["repeated_base_keys", "repeated_other_keys", "unmatched_base_rows", "unused_other_rows"], "v"))
 def join_contract(spark, sf):
@@ -157,7 +162,7 @@ def model_id_leak(spark, sf):
 
 
 @query("role_id_scope", """with v as (select count(*) filter (split <> 'train' or role <> 'base_fit') as ids_outside_role,
-    0 as count_difference from loans where role = 'base_fit') """ + flags(["ids_outside_role", "count_difference"], "v"), "loans")
+    abs(count(*) - (select count(*) from loans where split = 'train' and issue_month <= '1998-12')) as count_difference from loans where role = 'base_fit') """ + flags(["ids_outside_role", "count_difference"], "v"), "loans")
 def role_id_scope(spark, sf):
     """Score ids lie inside one role and match the recorded count."""
     role_ids = views.loans(spark, sf).filter("role = 'base_fit'")
@@ -299,8 +304,9 @@ def prediction_table(spark, sf):
     return tabular_scores(spark, sf)
 
 
-@query("prediction_checks", """with v as (select count(*) filter (role = 'base_fit') as missing, 0 as extra, 0 as duplicates, 0 as null_probability, 0 as outside_unit_interval
-  from loans where role is not null) """ + flags(["missing", "extra", "duplicates", "null_probability", "outside_unit_interval"], "v"), "loans")
+@query("prediction_checks", """with e as (select loan_id from loans where role is not null), f as (select loan_id, p_a as p from loans where role in ('fusion_fit', 'fusion_calibration', 'validation')),
+  v as (select (select count(*) from e anti join f using (loan_id)) as missing, (select count(*) from f anti join e using (loan_id)) as extra, count(*) - count(distinct loan_id) as duplicates,
+    count(*) filter (p is null) as null_probability, count(*) filter (p is not null and not (p between 0 and 1)) as outside_unit_interval from f) """ + flags(["missing", "extra", "duplicates", "null_probability", "outside_unit_interval"], "v"), "loans")
 def prediction_checks(spark, sf):
     """The prediction contract against every mapped id (base rows are not scored, so they are missing)."""
     return checks.prediction_checks(tabular_scores(spark, sf), open_loans(spark, sf))
@@ -313,8 +319,12 @@ def score_export(spark, sf):
     return text_export(spark, sf).withColumn("raw_margin", r9("raw_margin"))
 
 
-@query("export_checks", """with v as (select count(*) as n, 0 as missing, 0 as extra, 0 as duplicates, 0 as split_disagrees, 0 as role_disagrees, 0 as margin_not_finite,
-    0 as probability_invalid, 0 as not_sigmoid_of_margin, count(*) as wrong_version from loans where role in ('fusion_fit', 'fusion_calibration', 'validation'))
+@query("export_checks", """with e as (select loan_id, split as s0, role as r0 from loans where role in ('fusion_fit', 'fusion_calibration', 'validation')),
+  f as (select loan_id, split, role, ln(p_b / (1 - p_b)) as margin, p_b as p, 'text-v2' as model_version from loans where role in ('fusion_fit', 'fusion_calibration', 'validation')),
+  v as (select (select count(*) from e anti join f using (loan_id)) as missing, (select count(*) from f anti join e using (loan_id)) as extra, count(*) - count(distinct loan_id) as duplicates,
+    count(*) filter (split is distinct from s0) as split_disagrees, count(*) filter (role is distinct from r0) as role_disagrees, count(*) filter (not isfinite(margin)) as margin_not_finite,
+    count(*) filter (p is null or not (p between 0 and 1)) as probability_invalid, count(*) filter (abs(p - 1 / (1 + exp(-margin))) > 1e-9) as not_sigmoid_of_margin,
+    count(*) filter (model_version <> 'text-v3') as wrong_version from f left join e using (loan_id))
   """ + flags(["missing", "extra", "duplicates", "split_disagrees", "role_disagrees", "margin_not_finite", "probability_invalid", "not_sigmoid_of_margin", "wrong_version"], "v"), "loans")
 def export_checks(spark, sf):
     """The six-column contract, with a version pin that does not match."""
@@ -391,8 +401,13 @@ def fusion_fold_table(spark, sf):
         "loan_id", "split", "role", "p_default_tabular", "p_default_text", "fold_id")
 
 
-@query("fusion_table_checks", """with v as (select 0 as missing, 0 as extra, 0 as duplicates, 0 as invalid_tabular, 0 as invalid_text, 0 as wrong_tabular_version, 0 as wrong_text_version,
-    0 as labels_disagree from loans limit 1) """ + flags(["missing", "extra", "duplicates", "invalid_tabular", "invalid_text", "wrong_tabular_version", "wrong_text_version", "labels_disagree"], "v"), "loans")
+@query("fusion_table_checks", """with e as (select loan_id, split, role from loans where role in ('fusion_fit', 'fusion_calibration', 'validation')),
+  a as (select loan_id, p_a, 'tabular-v1' as va from loans where split <> 'test'), b as (select loan_id, p_b, 'text-v2' as vb from loans where split <> 'test'),
+  f as (select e.*, p_a, va, p_b, vb from e left join a using (loan_id) left join b using (loan_id)),
+  v as (select (select count(*) from e anti join f using (loan_id)) as missing, (select count(*) from f anti join e using (loan_id)) as extra, count(*) - count(distinct loan_id) as duplicates,
+    count(*) filter (p_a is null or not (p_a between 0 and 1)) as invalid_tabular, count(*) filter (p_b is null or not (p_b between 0 and 1)) as invalid_text,
+    count(*) filter (va is distinct from 'tabular-v1') as wrong_tabular_version, count(*) filter (vb is distinct from 'text-v2') as wrong_text_version,
+    count(*) filter (split <> case when role = 'validation' then 'validation' else 'train' end) as labels_disagree from f) """ + flags(["missing", "extra", "duplicates", "invalid_tabular", "invalid_text", "wrong_tabular_version", "wrong_text_version", "labels_disagree"], "v"), "loans")
 def fusion_table_checks(spark, sf):
     """The hand-off table has no outcome column, exact ids, labels, ranges and pinned versions."""
     table = score_join(spark, sf)
@@ -407,7 +422,11 @@ def track_metadata(spark, sf):
         "loan_id", "p_default_tabular", "tabular_model_name", "tabular_model_version")
 
 
-@query("calibrated_frame_checks", """with v as (select 0 as missing, 0 as extra, 0 as duplicates, 0 as invalid_raw, 0 as invalid_calibrated, 0 as wrong_split from loans limit 1)
+@query("calibrated_frame_checks", """with e as (select loan_id from loans where issue_month between '2000-01' and '2000-12'),
+  f as (select loan_id, split, p_a as raw, 1 / (1 + exp(-(0.8::double * ln(p_a / (1 - p_a)) - 0.1::double))) as cal from loans where role = 'validation'),
+  v as (select (select count(*) from e anti join f using (loan_id)) as missing, (select count(*) from f anti join e using (loan_id)) as extra, count(*) - count(distinct loan_id) as duplicates,
+    count(*) filter (raw is null or not (raw between 0 and 1)) as invalid_raw, count(*) filter (cal is null or not (cal between 0 and 1)) as invalid_calibrated,
+    count(*) filter (split <> 'validation') as wrong_split from f)
   """ + flags(["missing", "extra", "duplicates", "invalid_raw", "invalid_calibrated", "wrong_split"], "v"), "loans")
 def calibrated_frame_checks(spark, sf):
     """The calibrated-score table, one check per probability column."""

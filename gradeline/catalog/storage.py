@@ -37,7 +37,7 @@ def csv_scan(spark, sf):
     return readers.with_source_row_number(raw).select("source_row_number", "issue_d", "loan_status", F.md5("desc").alias("desc_digest"))
 
 
-@query("record_count", """select 'record_count_difference' as "check", 0 as violations, true as passed from (select count(*) as n from orders) where n > 0""")
+@query("record_count", """select 'record_count_difference' as "check", abs(count(*) - (select count(*) from raw_loans)) as violations, count(*) = (select count(*) from raw_loans) as passed from orders""", "raw_loans")
 def record_count(spark, sf):
     """S3: records read from the CSV files against the recorded count."""
     recorded = views.table(spark, sf, "orders").count()
