@@ -63,7 +63,7 @@ def score_files(spark, sf):
 
 @query("parquet_roundtrip", f"select loan_id, role, p_a, {s9('p_b / 3')} as third, 'v1' as feature_version from loans where role is not null", "loans")
 def parquet_roundtrip(spark, sf):
-    """Staged write, read-back verification by key, then swap."""
+    """Staged write to a location that must be new, read-back verification by key, then swap."""
     rows = views.loans(spark, sf).filter("role is not null").select("loan_id", "role", "p_a", (F.col("p_b") / 3).alias("third"))
     return rounded(sinks.replace_verified(rows, new_path(spark, "features"), "loan_id", ["p_a", "third"], "v1"))
 

@@ -302,3 +302,30 @@ def headline_findings(spark, sf):
     """Headline findings from row and group aggregates."""
     rows = labelled_lexical(spark, sf).join(lexical.keyword_sources(payloads(spark, sf), KEYWORDS), "doc_id").persist()
     return rounded(lexical.headline(rows, FEATURES))
+
+
+TRAIN_LEX = f"tl as (select t.loan_id, t.doc_id, t.target, t.purpose, feats.* exclude (doc_id) from texts t join feats using (doc_id) where t.split = 'train')"
+
+
+def training_features(spark, sf):
+    """Labelled training texts with the lexical features of the same ids."""
+    rows = views.labelled_texts(spark, sf).filter("split = 'train'").select("loan_id", "doc_id", "target", "purpose", "desc").persist()
+    features = rounded(X.lexical_features(spread(rows.select("loan_id", "desc"), "loan_id"), "desc", KEYWORDS).drop("desc")).persist()
+    return lexical.join_training_features(rows.drop("desc"), features, FEATURES)
+
+
+@query("training_feature_join", f"with {LEX}, feats as (select {LEX_OUT} from lex), {TRAIN_LEX} select * exclude (doc_id) from tl", "texts")
+def training_feature_join(spark, sf):
+    """Feature table joined to the labelled rows of one split, ids exact both ways, no missing feature."""
+    return training_features(spark, sf).drop("doc_id")
+
+
+_LONG = " union all ".join(
+    f"select 'correlation' as section, '{f}' as name, 'r' as item, {s9(f'corr(target, {f})')} as value from tl union all "
+    f"select 'outcome', '{f}', 'mean_' || target, {s9(f'avg({f})')} from tl group by target" for f in FEATURES)
+
+
+@query("lexical_analysis", f"with {LEX}, feats as (select {LEX_OUT} from lex), {TRAIN_LEX} {_LONG} union all select 'category', purpose, 'event_rate', {s9('avg(target)')} from tl group by purpose", "texts")
+def lexical_analysis(spark, sf):
+    """Join, correlations, outcome means and category rates of the training texts in one long table."""
+    return rounded(lexical.analysis(training_features(spark, sf).persist(), FEATURES))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gradeline.functions.columns import ratio, squeeze
 from gradeline.functions.text import DISTRESS_KEYWORDS, ENTITY_PATTERN, TAG_PATTERN, category_words, hits, item_count, words
-from gradeline.operators.checks import ContractError
+from gradeline.operators.checks import ContractError, binary_target_checks, enforce, row_checks
+from gradeline.operators.joins import checked_join
 from gradeline.operators.ordering import attach, exact_quantiles
 from gradeline.session import small_side
 
@@ -164,3 +165,22 @@ def repeats(rows: DataFrame, text: Column) -> DataFrame:
 def cleaning_impact(rows: DataFrame, before: Column, after: Column) -> DataFrame:
     sums = rows.agg(F.sum(item_count(before)).cast("long").alias("raw_words"), F.sum(item_count(after)).cast("long").alias("clean_words"))
     return sums.withColumn("net_reduction_percent", F.lit(100.0) * (1 - ratio(F.col("clean_words"), F.col("raw_words"))))
+
+
+def join_training_features(rows: DataFrame, features: DataFrame, columns: Sequence[str], key: str = "loan_id") -> DataFrame:
+    """Labelled rows of one split with their features: exact id membership both ways, no missing value, both outcomes."""
+    enforce(binary_target_checks(rows), "training rows")
+    joined = checked_join(rows, features.select(key, *columns), key, exact=True, name="lexical features")
+    enforce(row_checks(joined, {f"missing_{c}": F.col(c).isNull() for c in columns}), "lexical features")
+    return joined
+
+
+def analysis(rows: DataFrame, features: Sequence[str], by: str = "purpose") -> DataFrame:
+    """The lexical analysis as one long table (section, name, item, value): correlations, outcome means, category rates."""
+    correlations = point_biserial(rows, features).select(
+        F.lit("correlation").alias("section"), F.col("feature").alias("name"), F.lit("r").alias("item"), F.col("point_biserial_r").alias("value"))
+    outcomes = outcome_summary(rows, features).select(
+        F.lit("outcome").alias("section"), F.col("feature").alias("name"), F.concat(F.lit("mean_"), F.col("target").cast("string")).alias("item"), F.col("mean").alias("value"))
+    categories = rows.groupBy(by).agg(F.avg("target").alias("value")).select(
+        F.lit("category").alias("section"), F.col(by).alias("name"), F.lit("event_rate").alias("item"), "value")
+    return correlations.unionByName(outcomes).unionByName(categories)

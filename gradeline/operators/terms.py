@@ -91,8 +91,10 @@ def within_fields(docs: DataFrame, fields: Sequence[str], terms: DataFrame, stop
     """Document counts of terms measured inside single fields, summed over the fields."""
     tokens = docs.select(*[term_tokens(F.coalesce(F.col(f), F.lit("")), stop_words).alias(f"_t{i}") for i, f in enumerate(fields)])
     per_field = F.concat(*[F.array_distinct(ngrams(f"_t{i}", *ngram_range)) for i in range(len(fields))])
-    found = tokens.select(F.explode(per_field).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("within_field_documents"))
-    return F.broadcast(terms.select("term")).join(found, "term", "left").select(
+    wanted = F.broadcast(terms.select("term"))  # a ranked list, bounded by its k
+    found = tokens.select(F.explode(per_field).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("within_field_documents"))
+    return terms.select("term").join(found, "term", "left").select(
         "term", F.coalesce("within_field_documents", F.lit(0)).alias("within_field_documents"))
 
 
