@@ -30,9 +30,11 @@ LEX = f"""lex as (select doc_id, n, ttr, hits, case when n = 0 then 0 else great
      len(list_filter(string_split_regex(text, '[.!?]+|\\n+'), lambda s: regexp_matches(s, '{L}'))) as spans,
      list_transform(ws, lambda t: regexp_replace(strip_accents(t), '[^a-z]', '', 'g')) as plain
    from (select doc_id, text, {WORDS('text')} as ws from documents)))"""
-LEX_OUT = f"""doc_id, {s9('case when n > 0 then 206.835::double - 1.015::double * (n / sentences) - 84.6::double * (syl / n) else 0 end')} as flesch_reading_ease,
-   {s9('case when n > 0 then 0.39::double * (n / sentences) + 11.8::double * (syl / n) - 15.59::double else 0 end')} as flesch_kincaid_grade,
-   {s9('case when n > 0 then ttr / n else 0 end')} as lexical_diversity_ttr, {s9('case when n > 0 then hits / n else 0 end')} as financial_distress_keyword_density"""
+LEX_RAW = """doc_id, case when n > 0 then 206.835::double - 1.015::double * (n / sentences) - 84.6::double * (syl / n) else 0 end as flesch_reading_ease,
+   case when n > 0 then 0.39::double * (n / sentences) + 11.8::double * (syl / n) - 15.59::double else 0 end as flesch_kincaid_grade,
+   case when n > 0 then ttr / n else 0 end as lexical_diversity_ttr, case when n > 0 then hits / n else 0 end as financial_distress_keyword_density"""
+FEATURES = ["flesch_reading_ease", "flesch_kincaid_grade", "lexical_diversity_ttr", "financial_distress_keyword_density"]
+LEX_OUT = "doc_id, " + ", ".join(f"{s9(f)} as {f}" for f in FEATURES)
 
 
 def documents(spark, sf):
@@ -92,7 +94,7 @@ def readability(spark, sf):
                        total.cast("long").alias("syllables"))
 
 
-@query("lexical_table", f"with {LEX} select {LEX_OUT} from lex")
+@query("lexical_table", f"with {LEX}, feats as (select {LEX_RAW} from lex) select {LEX_OUT} from feats")
 def lexical_table(spark, sf):
     """Readability, type-token ratio and keyword density per document."""
     return rounded(lexical_rows(spark, sf))
@@ -239,14 +241,13 @@ def markup_impact(spark, sf):
 
 # ---- group statistics over the lexical table -------------------------------------------------
 
-LABELLED = f"{LEX}, feats as (select {LEX_OUT} from lex), rows as (select feats.*, quality as target, source as purpose from feats join labels using (doc_id) join documents using (doc_id))"
-FEATURES = ["flesch_reading_ease", "flesch_kincaid_grade", "lexical_diversity_ttr", "financial_distress_keyword_density"]
+LABELLED = f"{LEX}, feats as (select {LEX_RAW} from lex), rows as (select feats.*, quality as target, source as purpose from feats join labels using (doc_id) join documents using (doc_id))"
 
 
 def labelled_lexical(spark, sf):
     labels = views.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("target"))
     purposes = documents(spark, sf).select("doc_id", F.col("source").alias("purpose"))
-    return rounded(lexical_rows(spark, sf)).join(labels, "doc_id").join(purposes, "doc_id")
+    return lexical_rows(spark, sf).join(labels, "doc_id").join(purposes, "doc_id")
 
 
 _CORR = " union all ".join(f"""select '{f}' as feature, {s9(f'corr(target, {f})')} as point_biserial_r, {s9(f'abs(corr(target, {f}))')} as absolute_r,
@@ -310,14 +311,14 @@ TRAIN_LEX = f"tl as (select t.loan_id, t.doc_id, t.target, t.purpose, feats.* ex
 def training_features(spark, sf):
     """Labelled training texts with the lexical features of the same ids."""
     rows = views.labelled_texts(spark, sf).filter("split = 'train'").select("loan_id", "doc_id", "target", "purpose", "desc").persist()
-    features = rounded(X.lexical_features(spread(rows.select("loan_id", "desc"), "loan_id"), "desc", KEYWORDS).drop("desc")).persist()
+    features = X.lexical_features(spread(rows.select("loan_id", "desc"), "loan_id"), "desc", KEYWORDS).drop("desc").persist()
     return lexical.join_training_features(rows.drop("desc"), features, FEATURES)
 
 
-@query("training_feature_join", f"with {LEX}, feats as (select {LEX_OUT} from lex), {TRAIN_LEX} select * exclude (doc_id) from tl", "texts")
+@query("training_feature_join", f"with {LEX}, feats as (select {LEX_RAW} from lex), {TRAIN_LEX} select loan_id, target, purpose, {', '.join(f'{s9(f)} as {f}' for f in FEATURES)} from tl", "texts")
 def training_feature_join(spark, sf):
     """Feature table joined to the labelled rows of one split, ids exact both ways, no missing feature."""
-    return training_features(spark, sf).drop("doc_id")
+    return rounded(training_features(spark, sf).drop("doc_id"))
 
 
 _LONG = " union all ".join(
@@ -325,7 +326,7 @@ _LONG = " union all ".join(
     f"select 'outcome', '{f}', 'mean_' || target, {s9(f'avg({f})')} from tl group by target" for f in FEATURES)
 
 
-@query("lexical_analysis", f"with {LEX}, feats as (select {LEX_OUT} from lex), {TRAIN_LEX} {_LONG} union all select 'category', purpose, 'event_rate', {s9('avg(target)')} from tl group by purpose", "texts")
+@query("lexical_analysis", f"with {LEX}, feats as (select {LEX_RAW} from lex), {TRAIN_LEX} {_LONG} union all select 'category', purpose, 'event_rate', {s9('avg(target)')} from tl group by purpose", "texts")
 def lexical_analysis(spark, sf):
     """Join, correlations, outcome means and category rates of the training texts in one long table."""
     return rounded(lexical.analysis(training_features(spark, sf).persist(), FEATURES))
