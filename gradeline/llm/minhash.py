@@ -55,7 +55,10 @@ def shingle_sets(octets: np.ndarray, offsets: np.ndarray, words: int) -> list[np
     bounds = np.searchsorted(rows, np.arange(len(offsets)))
     sets = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        sets.append(np.unique(runs[a:b - words + 1]) if b - a >= words else texts.sequence_hashes(hashes[a:b], b - a)[:1])
+        if b - a >= words:
+            sets.append(np.unique(runs[a:b - words + 1]))
+        else:
+            sets.append(texts.sequence_hashes(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64))
     return sets
 
 
@@ -85,13 +88,13 @@ def minima_of(sets: list[np.ndarray], count: int) -> np.ndarray:
 def packed(minima: np.ndarray, bits: int) -> np.ndarray:
     """The low bits of every minimum, packed into 64-bit words."""
     scrambled = (minima * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
-    groups = scrambled.reshape(len(minima), -1, 64 // bits).astype(np.uint64)
+    groups = scrambled.reshape(len(minima), minima.shape[1] * bits // 64, 64 // bits).astype(np.uint64)
     return np.bitwise_or.reduce(groups << (np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits)), axis=2)
 
 
 def band_keys(minima: np.ndarray, bands: int) -> np.ndarray:
     keys = np.zeros((len(minima), bands), np.uint64)
-    parts = minima.reshape(len(minima), bands, -1).astype(np.uint64)
+    parts = minima.reshape(len(minima), bands, minima.shape[1] // bands).astype(np.uint64)
     for k in range(parts.shape[2]):
         keys = texts.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k] + np.arange(1, bands + 1, dtype=np.uint64))
     return keys

@@ -99,7 +99,7 @@ def battery(token: str) -> tuple[str, float, float] | None:
     serial = _two_sided((float((centred[1:] * centred[:-1]).sum()) / power + 1 / n) * math.sqrt(n)) if power else 0.0
     kinds = np.array([0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in body])
     changes = int((kinds[1:] != kinds[:-1]).sum())
-    rate = 0.1  # of class changes between neighbours of a word, camel case and numbered names included
+    rate = 0.2  # of class changes between neighbours of a word, camel case and numbered names included
     word = sum(math.comb(n - 1, k) * rate ** k * (1 - rate) ** (n - 1 - k) for k in range(changes, min(n, 400))) if n <= 400 else _above(
         (changes - rate * (n - 1)) / math.sqrt(rate * (1 - rate) * (n - 1)))
     return name, min(uniform, turning, serial), min(1.0, word)

@@ -67,7 +67,7 @@ def test_exact_groups(spark, documents, odd):
         best = {}
         for r in rows:
             key = (-len(r.text or ""), r.doc_id is None, r.doc_id or 0)
-            best[norm(r.text)] = min(best.get(norm(r.text), (key, None, 0))[:2], (key, r.doc_id))
+            best[norm(r.text)] = min(best.get(norm(r.text), (key, r.doc_id)), (key, r.doc_id), key=lambda x: x[0])
         got = exact.exact_groups(table, block=7).collect()
         assert sorted((str(r.doc_id), str(r.keep_id)) for r in got) == sorted((str(r.doc_id), str(best[norm(r.text)][1])) for r in rows)
         assert sum(r.kept for r in got) == len(best) and all(r.group_size >= 1 for r in got)
