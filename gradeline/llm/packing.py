@@ -18,17 +18,37 @@ from gradeline.llm import texts
 from gradeline.session import checkpointed
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-LENGTH, END_ID, OPEN_BINS, PIECES_PER_TASK, CACHED = 2048, 0, 2048, 250_000, 300_000
+LENGTH, END_ID, OPEN_BINS, PIECES_PER_TASK, CACHED = 2048, 0, 2048, 250_000, 500_000
 
+_MARKS = re.compile("[\u0300-\u036f]").search
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 #: Characters that str.split() takes for spaces too, or that some Unicode versions do.
-_OTHER_SPACES = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]").search
+_OTHER_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
+
+
+def _split(text: str) -> list[str]:
+    """Words of a text, A-Z in lower case where the tokenizer would lower them alike: not before a combining mark, which joins
+    some small letters only, and not in a special token."""
+    if not (_MARKS(text) or "<|" in text):
+        text = text.encode().lower().decode()
+    return _WORDS(text) if _OTHER_SPACES(text) else text.split()
+
+
+class _Known(dict):
+    """Ids of the first words met, up to a bound, and of the other words of the batch at hand."""
+
+    def __init__(self):
+        super().__init__()
+        self.batch: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.batch[word]
 
 
 class WordIds:
     """Ids of words by a tokenizer that drops white space, so that a text's ids are its words' ids end to end.
 
-    Words seen lately are kept; the store starts anew when full, which bounds memory and never changes a result.
+    Frequent words come early and stay; beyond the bound, words are kept for one batch. Results do not depend on it.
     """
 
     def __init__(self, path: str):
@@ -36,20 +56,22 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
 
     def of(self, rows: list[str | None]) -> list[bytes]:
         """32-bit ids of every text, the end id last."""
-        words = [(_WORDS(text) if _OTHER_SPACES(text) else text.split()) if text else [] for text in rows]
-        missing = set().union(*words).difference(self.known)
-        if len(self.known) + len(missing) > CACHED:
-            self.known.clear()
-            missing = set().union(*words)
-        missing = list(missing)
-        for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        words, known = [_split(text) if text else [] for text in rows], self.known
+        missing = [word for word in set().union(*words) if word not in known]
+        # A stop after a letter is a token run of its own, so most words with one need not be encoded again.
+        stems = {word: word[:-1] if word[-1] in ".," and word[-2:-1].isalpha() else word for word in missing}
+        wanted = [stem for stem in {*stems.values(), ".", ","} if stem not in known]
+        found = self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)
+        known.batch = {stem: np.array(own.ids, "<u4").tobytes() for stem, own in zip(wanted, found, strict=True)}
+        known.batch |= {word: known[stem] + known[word[-1]] for word, stem in stems.items() if word != stem}
+        if len(known) + len(known.batch) <= CACHED:
+            known.update(known.batch)
         end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, row)) + end for row in words]
+        return [b"".join(map(known.__getitem__, row)) + end for row in words]
 
 
 @lru_cache(1)
