@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.llm import texts
+from gradeline.llm.ranks import lowest_hashed
 
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -321,8 +322,8 @@ def main_texts(pages: list[str], model: Labeller, s: Settings) -> list[str]:
 def fit(pages: DataFrame, settings: Settings = Settings()) -> Labeller | None:
     """Train on a bounded draw of ``pages`` (page_id, html): those of lowest id hash."""
     s = settings
-    drawn = pages.where(F.length("html").between(1, s.longest)).select(F.xxhash64("page_id").alias("h"), "page_id", "html")
-    return trained([r["html"] for r in drawn.orderBy("h", "page_id").limit(s.sample).collect()], s)
+    drawn = lowest_hashed(pages.where(F.length("html").between(1, s.longest)).select("page_id", "html"), ["page_id"], s.sample)
+    return trained([r["html"] for r in drawn.collect()], s)
 
 
 def main_text(pages: DataFrame, model: Labeller | None, settings: Settings = Settings()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.llm import texts
+from gradeline.llm.ranks import lowest_hashed
 from gradeline.session import checkpointed
 
 #: What counts as a symbol, and the limits of the hard rules.
@@ -184,7 +185,7 @@ def judged(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     """
     s = settings
     counts = checkpointed(statistics(docs))
-    drawn = counts.orderBy(F.xxhash64("doc_id", "n_words", "word_chars"), "doc_id").limit(s.sample).select(*COUNTS).toPandas()
+    drawn = lowest_hashed(counts, ["doc_id", "n_words", "word_chars"], s.sample).select(*COUNTS).toPandas()
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     if drawn.empty:
         return counts.withColumns({"base_failed": failed, "anomaly": F.lit(0.0), "kept": F.lit(False)})

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.llm import texts
+from gradeline.llm.ranks import lowest_hashed
 from gradeline.session import checkpointed
 
 
@@ -81,7 +82,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     """text and toxic of the rows to learn from: labelled 0 or 1, and the id's checksum not 2 modulo 4."""
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
+    known = lowest_hashed(known, ["doc_id"], s.sample)
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("double").alias("label"))
 
 
