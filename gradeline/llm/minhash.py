@@ -32,7 +32,7 @@ class Settings:
     rows: int = 4
     bits: int = 4
     sigmas: float = 5.0
-    block: int = 2048
+    block: int = 1024
 
     @property
     def minima(self) -> int:
@@ -168,24 +168,39 @@ def _unequal_groups(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _crossing(s: Settings):
-    """Pairs of one bucket block pair that lie in different components and whose estimate does not rule out a link."""
+    """Links of one bucket block pair that join different components: estimates first, then full sets, and a spanning tree goes out.
+
+    All pairs are looked at, but a pair whose ends are joined already needs no second path, so fewer links than classes leave.
+    """
     least = s.least_matches
 
-    def pairs(key: tuple, group: pa.Table) -> pa.Table:
+    def links(key: tuple, group: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        own, ids, roots = (group.column(c).to_numpy() for c in ("own", "cid", "root"))
+        own, ids, labels = (group.column(c).to_numpy() for c in ("own", "cid", "root"))
+        labels = labels.copy()
         sig = group.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
-        second = np.flatnonzero(own == j)
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in group.column("members").combine_chunks()]
+        sizes = np.array([len(m) for m in sets])
+        values = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(values, kind="stable")]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(values))])
+        heads = np.concatenate([[0], np.cumsum(sizes)])
+        second, xs, ys = own == j, [], []
         for k in np.flatnonzero(own == i):
-            at = second[(roots[second] != roots[k]) & ((ids[second] > ids[k]) if i == j else True)]
-            hit = ids[at[s.minima - _unequal_groups(sig[at] ^ sig[k], s.bits) >= least]]
-            xs.append(np.full(len(hit), ids[k]))
-            ys.append(hit)
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        return pa.table({"x": np.maximum(x, y), "y": np.minimum(x, y)})
-
-    return pairs
+            at = np.flatnonzero(second & (labels != labels[k]))
+            at = at[s.minima - _unequal_groups(sig[at] ^ sig[k], s.bits) >= least]
+            if not len(at):
+                continue
+            found = [holders[bounds[v]:bounds[v + 1]] for v in values[heads[k]:heads[k + 1]]]
+            common = np.bincount(np.concatenate(found), minlength=len(sets))[at]
+            for m in at[s.den * common >= s.num * (sizes[k] + sizes[at] - common)]:
+                if labels[m] != labels[k]:
+                    labels[labels == labels[m]] = labels[k]
+                    xs.append(max(ids[k], ids[m]))
+                    ys.append(min(ids[k], ids[m]))
+        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+
+    return links
 
 
 def text_key() -> Column:
@@ -198,7 +213,8 @@ def near_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Texts of one shingle set form a class, so copies are compared once. Classes that share a band meet their bucket's
     first and last class; confirmed links form components. Only members of different components of a bucket are then compared
-    further, all of them, in blocks of ``block`` classes, so a bucket never stands in one task and no pair is lost.
+    further, all of them, in blocks of ``block`` classes with their full sets, so a bucket never stands in one task, no pair is
+    lost, and only links that join something leave a task.
     A null or empty text has no shingles and stands alone. Rows of one doc_id and text share a class and its result; a
     null doc_id never names a component unless all its members lack one. Empty input gives an empty table.
     """
@@ -249,9 +265,8 @@ def near_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     open_members = placed.join(mixed, "band").withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "band", "cid", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rest = open_members.join(sigs, "cid").groupBy("band", "i", "j").applyInArrow(_crossing(s), "x bigint, y bigint")
-    more = confirmed(rest.distinct())
-    roots = checkpointed(connected(checkpointed(links.unionByName(more))))
+    more = open_members.join(sigs, "cid").join(sets, "cid").groupBy("band", "i", "j").applyInArrow(_crossing(s), "x bigint, y bigint")
+    roots = checkpointed(connected(checkpointed(links.unionByName(more.distinct()))))
 
     named = classes.select("cid", "digest", "first_id").join(
         roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
