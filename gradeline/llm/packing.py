@@ -18,7 +18,7 @@ from gradeline.llm import texts
 from gradeline.session import checkpointed
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-LENGTH, END_ID, OPEN_BINS, PIECES_PER_TASK, CACHED = 2048, 0, 2048, 250_000, 500_000
+LENGTH, END_ID, OPEN_BINS, PIECES_PER_TASK, CACHED = 2048, 0, 2048, 250_000, 250_000
 
 _MARKS = re.compile("[\u0300-\u036f]").search
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
