@@ -92,17 +92,22 @@ def role_manifest(spark, sf):
     return manifests.role_manifest(spark.read.parquet(path), {"dataset_version": "orders_v1", "role_version": "roles_v1"})
 
 
-FP = """count(*) as rows, cast(sum(h) as bigint) as digest_sum, bit_xor(h) as digest_xor"""
-HASH = "('0x' || substr(md5(concat_ws('|', {0})), 1, 8))::bigint as h"
+FP = """count(*) as rows, cast(sum(h) as varchar) as digest_sum, bit_xor(h) as digest_xor"""
 
 
-@query("table_fingerprint", f"select role, {FP} from (select role, {HASH.format('loan_id, issue_month')} from loans where role is not null) group by role", "loans")
+def row_hash(*columns: str) -> str:
+    """SQL of the row digest ``h``: values after their lengths, a mark for NULL."""
+    parts = ", ".join(f"coalesce(length({c}) || ':' || {c}, '~')" for c in columns)
+    return f"('0x' || substr(md5(concat({parts})), 1, 15))::bigint as h"
+
+
+@query("table_fingerprint", f"select role, {FP} from (select role, {row_hash('loan_id', 'issue_month')} from loans where role is not null) group by role", "loans")
 def table_fingerprint(spark, sf):
     """Order-free digest of an id set per role, with its count."""
     return manifests.fingerprint(views.loans(spark, sf).filter("role is not null"), ["loan_id", "issue_month"], ["role"])
 
 
-@query("fingerprint_audit", f"""with c as (select source, bit_xor(h) as x from (select source, {HASH.format('doc_id::varchar, text')} from documents) group by source),
+@query("fingerprint_audit", f"""with c as (select source, bit_xor(h) as x from (select source, {row_hash('doc_id::varchar', 'text')} from documents) group by source),
   r as (select source, case when source = 'src3' then null when source = 'src5' then x + 1 else x end as x from c where source <> 'src7' union all select 'src99', 1)
   select source, case when r.source is null then 'not recorded' when c.source is null then 'not found' when r.x is null then 'no pin' when r.x = c.x then 'equal' else 'changed' end as state,
     coalesce(r.x = c.x, false) as passed from r full join c using (source)""")
@@ -122,7 +127,7 @@ def file_checksums(spark, sf):
 
 
 @query("output_record", f"""select 'scores' as "table", model_version, count(*) as rows, 'loan_id,p,model_version' as columns, cast(sum(h) as bigint) as digest_sum, bit_xor(h) as digest_xor
-  from (select case when p_a > 0.5 then 'v1' else 'v2' end as model_version, {HASH.format('loan_id')} from loans where role is not null) group by model_version""", "loans")
+  from (select case when p_a > 0.5 then 'v1' else 'v2' end as model_version, {row_hash('loan_id')} from loans where role is not null) group by model_version""", "loans")
 def output_record(spark, sf):
     """One manifest row per version of a written table."""
     rows = views.loans(spark, sf).filter("role is not null").select("loan_id", F.col("p_a").alias("p"), F.when(F.col("p_a") > 0.5, "v1").otherwise("v2").alias("model_version"))

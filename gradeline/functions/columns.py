@@ -134,8 +134,11 @@ def is_probability(p: Column) -> Column:
 
 
 def differs(left: Column, right: Column, atol: float, rtol: float = 0.0) -> Column:
-    """Outside atol + rtol*|right|; a missing side differs."""
-    return F.coalesce(F.abs(left - right) > F.lit(float(atol)) + F.lit(float(rtol)) * F.abs(right), F.lit(True))
+    """Outside atol + rtol*|right|; a missing or NaN side differs, and so does an infinite one from anything but itself."""
+    a, b = left.cast("double"), right.cast("double")
+    odd = F.isnan(a) | F.isnan(b) | ((F.abs(b) == float("inf")) | (F.abs(a) == float("inf"))) & (a != b)
+    apart = (a != b) & (F.abs(a - b) > F.lit(float(atol)) + F.lit(float(rtol)) * F.abs(b))
+    return F.coalesce(odd | apart, F.lit(True))
 
 
 def threshold_grid(start: float, stop: float, step: float) -> list[float]:
@@ -155,7 +158,7 @@ def leaf_bound(trees: Column, depth: Column) -> Column:
 
 def json_value(document: Column, *path: str) -> Column:
     """Value at a nested key path; a missing key is NULL and shows up in a check."""
-    return F.get_json_object(document, "$." + ".".join(path))
+    return F.get_json_object(document, "$" + "".join(f"['{key}']" for key in path))
 
 
 # Registry of row-wise derivations: name -> (number of source columns, Column builder).

@@ -38,10 +38,7 @@ def replicate_coefficients(seed: int, replicates: int) -> list[tuple[int, int, i
     return rows
 
 
-def salted_key(key: Column, salts: int) -> Column:
-    """Small integer salt spread evenly over the rows of one hot key."""
-    return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
-
-
 def concat_key(columns: Sequence[Column]) -> Column:
-    return F.concat_ws("|", *[c.cast("string") for c in columns])
+    """One text for a row: each value after its length, a mark for NULL, so that no two rows share one."""
+    texts = [c.cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("~")) for c in texts])

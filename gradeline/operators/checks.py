@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.functions.columns import ID_PATTERN, differs, is_finite, is_probability, sigmoid
+from gradeline.functions.columns import ID_PATTERN, differs, is_finite, is_probability, sigmoid, strip
 
 # Outcome fields that may never be a source, an input or a feature.
 ALWAYS_PROHIBITED = frozenset({
@@ -83,7 +83,7 @@ def one_value(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     parts = [
         df.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("_n")).agg(
             F.lit(c).alias("column"), F.count_if(F.col("value").isNotNull()).alias("distinct_values"),
-            F.coalesce(F.sum(F.when(F.coalesce(F.trim("value"), F.lit("")) == "", F.col("_n"))), F.lit(0))
+            F.coalesce(F.sum(F.when(F.coalesce(strip(F.col("value").cast("string")), F.lit("")) == "", F.col("_n"))), F.lit(0))
             .cast("long").alias("blank_rows"), F.min("value").alias("first_value"))
         for c in columns
     ]

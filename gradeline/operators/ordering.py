@@ -70,7 +70,7 @@ def running_totals(
         ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
         .select(*by, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in totals])
     )
-    joined = ranged.join(starts, [*by, "_range"])
+    joined = matched(ranged, starts, [*by, "_range"])
     return joined.select(
         *groups.columns, *[(F.sum(c).over(inside) + F.col(f"_s_{n}")).alias(n) for n, c in totals.items()])
 
@@ -99,7 +99,7 @@ def global_rank(
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in totals])
     inside = Window.partitionBy(*by, "_range").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranged.join(starts, [*by, "_range"]).select(
+    return matched(ranged, starts, [*by, "_range"]).select(
         *df.columns, (F.row_number().over(inside) + F.col("_s_n")).cast("long").alias("rank"),
         *[(F.sum(c).over(upto) + F.col(f"_s_{n}")).alias(n) for n, c in totals.items()])
 
@@ -133,9 +133,10 @@ def exact_quantiles(
 
 def attach(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join group totals back; with no group columns the totals are exactly one row."""
-    return df.join(totals, list(by)) if by else df.join(F.broadcast(totals))
+    return matched(df, totals, by) if by else df.join(F.broadcast(totals))
 
 
-def struct_array(name_values: Sequence[Mapping[str, float]]) -> Column:
-    """A literal array of structs, for a bounded list of settings."""
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in name_values])
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which a missing key equals a missing key, so rows of a NULL group stay."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    return left.join(named, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]).drop(*[f"_right_{k}" for k in keys])

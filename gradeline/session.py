@@ -24,11 +24,13 @@ def local_session(cores: str = "*", app: str = "gradeline") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; make one only where none is named."""
+    """Use the shared folder named in spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gradeline-checkpoint-"))
 
 

@@ -26,10 +26,10 @@ def file_checksums(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Row count, sum and xor of 32-bit row digests: equal tables agree whatever their order or partitions."""
-    digest = F.conv(F.substring(F.md5(concat_key([F.col(c) for c in columns])), 1, 8), 16, 10).cast("long")
+    """Row count, sum (as text) and xor of 60-bit row digests: equal tables agree whatever their order or partitions."""
+    digest = F.conv(F.substring(F.md5(concat_key([F.col(c) for c in columns])), 1, 15), 16, 10).cast("long")
     hashed = df.select(*by, digest.alias("_h"))
-    return hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum("_h").alias("digest_sum"), F.bit_xor("_h").alias("digest_xor"))
+    return hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("_h").cast("decimal(20,0)")).cast("string").alias("digest_sum"), F.bit_xor("_h").alias("digest_xor"))
 
 
 def exact_id_digest(ids: DataFrame, key: str = "loan_id", max_rows: int = 500_000) -> str:

@@ -34,16 +34,23 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def replace_verified(df: DataFrame, path: str, key: str, values: Sequence[str], version: str) -> DataFrame:
-    """Write to a staging folder, verify, then swap it in; readers never see a partial table."""
+    """Write to a staging folder, verify, then swap it in; the old table is kept aside until the new one stands, and put back if it can't."""
     spark = df.sparkSession
     staging = path.rstrip("/") + "._staging"
     stage_path, fs = _file_system(spark, staging)
     target_path, _ = _file_system(spark, path)
     fs.delete(stage_path, True)
     write_verified(df.withColumn("feature_version", F.lit(version)), staging, key, values)
-    fs.delete(target_path, True)
+    old_path, _ = _file_system(spark, path.rstrip("/") + "._old")
+    fs.delete(old_path, True)
+    replaced = fs.exists(target_path)
+    if replaced and not fs.rename(target_path, old_path):
+        raise OSError(f"could not set {path} aside")
     if not fs.rename(stage_path, target_path):
+        if replaced:
+            fs.rename(old_path, target_path)
         raise OSError(f"could not move {staging} to {path}")
+    fs.delete(old_path, True)
     return spark.read.parquet(path)
 
 

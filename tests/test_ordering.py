@@ -88,3 +88,16 @@ def test_best_f1_takes_the_lowest_of_equal_thresholds(spark):
 def test_unreachable_recall_gives_no_row(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0)], "p double, target int")
     assert scoring.threshold_for_recall(df, [0.5, 1.5]).filter(F.col("target_recall") == 1.5).count() == 0
+
+
+def test_null_group_keeps_its_rows(spark):
+    from gradeline.operators import ordering
+
+    rows = spark.createDataFrame([(g, float(k), 1) for g in ("a", None) for k in range(6)], "g string, x double, n long")
+    for bounds in ([], [1.5, 3.5]):
+        got = ordering.running_totals(rows, "x", {"cum": "n"}, ["g"], bounds).collect()
+        assert sorted((r.g or "", r.x, r.cum) for r in got) == sorted((g, float(k), k + 1) for g in ("a", "") for k in range(6))
+        medians = ordering.exact_quantiles(rows, "x", [0.5], ["g"], bounds).collect()
+        assert sorted((r.g or "", r.quantile) for r in medians) == [("", 2.5), ("a", 2.5)]
+    ranks = ordering.global_rank(rows, ["x"], {"cum": "n"}, by=["g"]).collect()
+    assert sorted((r.g or "", r["rank"]) for r in ranks) == sorted((g, k + 1) for g in ("a", "") for k in range(6))

@@ -67,3 +67,24 @@ def test_frozen_names_absent(spark, sf):
     from gradeline import views
 
     assert views.loans(spark, sf).filter("split = 'test' and role is not null").count() == 0
+
+
+def test_fingerprint_tells_nulls_and_separators_apart(spark):
+    from gradeline.sources import manifests
+
+    one = spark.createDataFrame([(None, "x"), ("a|b", "c")], "a string, b string")
+    two = spark.createDataFrame([("x", None), ("a", "b|c")], "a string, b string")
+    left, right = (manifests.fingerprint(t, ["a", "b"]).first() for t in (one, two))
+    assert left.digest_sum != right.digest_sum and left.digest_xor != right.digest_xor
+
+
+def test_odd_numbers_differ_and_dotted_keys_are_found(spark):
+    from pyspark.sql import functions as F
+
+    from gradeline.functions import columns
+
+    inf, nan = float("inf"), float("nan")
+    rows = spark.createDataFrame([(0.5, nan), (nan, 0.5), (1.0, inf), (inf, 1.0), (inf, inf), (0.5, 0.5), (None, 1.0)], "a double, b double")
+    assert [r[0] for r in rows.select(columns.differs(F.col("a"), F.col("b"), 1e-6, 1e-6)).collect()] == [True] * 4 + [False, False, True]
+    value = spark.range(1).select(columns.json_value(F.lit('{"a.b": {"c": 3}}'), "a.b", "c")).first()[0]
+    assert value == "3"
