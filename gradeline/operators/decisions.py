@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,12 +54,16 @@ def champion(table: DataFrame, incumbent: str, challenger: str, margins: Mapping
         (F.col("_q") & F.col("_r")).alias("challenger_wins"), F.when(F.col("_q") & F.col("_r"), challenger).otherwise(incumbent).alias("recommendation"))
 
 
+STEP_FIELDS = ("baseline", "candidate", "metric", "delta", "ci_low", "ci_high", "clearly_better")
+
+
 def choose_method(comparisons: Sequence[Mapping[str, object]], methods: Sequence[str], metric: str) -> tuple[str, list[dict]]:
-    """Keep the earliest method unless a later one is clearly better; a fold over a few collected verdict rows."""
-    chosen, steps = methods[0], []
-    for method in methods[1:]:
-        row = next(r for r in comparisons if (r["candidate"], r["baseline"], r["metric"]) == (method, chosen, metric))
-        steps.append({k: row[k] for k in ("baseline", "candidate", "metric", "delta", "ci_low", "ci_high", "clearly_better")})
-        if row["clearly_better"]:
-            chosen = method
-    return chosen, steps
+    """The method left after each challenger in turn met the holder, and the verdict rows of these meetings.
+
+    The holder loses to a challenger that is clearly better; ``comparisons`` are a few collected rows.
+    """
+    verdicts = {(r["baseline"], r["candidate"]): r for r in comparisons if r["metric"] == metric}
+    holders = list(accumulate(methods[1:], lambda holder, rival: rival if verdicts[holder, rival]["clearly_better"] else holder,
+                              initial=methods[0]))
+    met = (verdicts[pair] for pair in zip(holders, methods[1:]))
+    return holders[-1], [{field: verdict[field] for field in STEP_FIELDS} for verdict in met]

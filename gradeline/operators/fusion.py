@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -112,13 +113,14 @@ def artifact_checks(artifact: DataFrame, expected: Mapping[str, object]) -> Data
     return checks.row_checks(artifact, rules)
 
 
-def version_pairs(versions: Sequence[str], reference: str = "reference", baseline: str = "tabular_only_platt",
-                  incremental: Sequence[tuple[str, str]] = ()) -> list[tuple[str, str]]:
-    """(candidate, baseline) pairs: all against the reference, calibrated ones against the tabular-only stacker."""
-    pairs = [(v, reference) for v in versions if v != reference]
-    if baseline in versions:
-        pairs += [(v, baseline) for v in versions if v.endswith("_platt") and v != baseline]
-    return pairs + [p for p in incremental if set(p) <= set(versions)]
+#: Which versions (by pattern) are held against which baseline.
+PAIRINGS = ((".+", "reference"), (".+_platt", "tabular_only_platt"))
+
+
+def version_pairs(versions: Sequence[str], pairings: Sequence[tuple[str, str]] = PAIRINGS) -> list[tuple[str, str]]:
+    """(candidate, baseline) for every pairing whose baseline is among the versions."""
+    return [(candidate, baseline) for pattern, baseline in pairings if baseline in versions
+            for candidate in versions if candidate != baseline and re.fullmatch(pattern, candidate)]
 
 
 def wide_predictions(long: DataFrame, versions: Sequence[str], stacker_version: str) -> DataFrame:
