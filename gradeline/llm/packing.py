@@ -147,12 +147,18 @@ class OpenBins:
         return own, self.length - space
 
 
+def in_rounds(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Places of ``sizes`` in rounds of ``most`` in the order given, each round in falling size."""
+    return np.lexsort((-sizes, np.arange(len(sizes)) // most))
+
+
 def packed(items: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
     """``items`` (a ``length`` column from 1 to ``length``, any others) with sequence_id and offset.
 
-    Items are stored, dealt over tasks of about ``PIECES_PER_TASK`` by an even hash, and come in falling length, so online best
-    fit nearly fills its sequences; a task ends with a few that are not full. Offsets in a sequence are gapless from 0. Numbers
-    of sequences are unique, not gapless. Empty input gives an empty table.
+    Items are stored, dealt over tasks of about ``PIECES_PER_TASK`` by an even hash, and come in hashed order, so that short items
+    meet open bins all along. Only rounds of as many items as bins may be open are put in falling length: one round cannot shut
+    out the short items of the next, as a whole task in that order would. A task ends with a few sequences that are not full.
+    Offsets in a sequence are gapless from 0. Numbers of sequences are unique, not gapless. Empty input gives an empty table.
     """
     stored = checkpointed(items.withColumn("__item", F.monotonically_increasing_id()))
     tasks, names = max(1, -(-stored.count() // PIECES_PER_TASK)), list(items.columns)
@@ -160,6 +166,7 @@ def packed(items: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = OpenBins(length, open_bins)
         for batch in batches:
+            batch = batch.take(pa.array(in_rounds(batch.column("length").to_numpy(), open_bins)))
             places = [bins.place(size) for size in batch.column("length").to_pylist()]
             columns = [batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays(
@@ -167,7 +174,7 @@ def packed(items: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) -
                 [*names, "__base", "__bin", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    dealt = stored.repartition(tasks, "__item").sortWithinPartitions(F.desc("length"), "__item")
+    dealt = stored.repartition(tasks, "__item").sortWithinPartitions(F.xxhash64("__item"), "__item")
     dealt = dealt.withColumn("__base", F.spark_partition_id().cast("long")).drop("__item")
     done = dealt.mapInArrow(run, f"{schema}, __base bigint, __bin bigint, offset bigint")
     return done.select(*names, (F.shiftleft("__base", 33) + F.col("__bin")).alias("sequence_id"), "offset")

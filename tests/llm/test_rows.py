@@ -105,6 +105,15 @@ def test_fullest_bin_closes_first():
     assert [bins.place(n) for n in (6, 7, 5, 5, 4)] == [(0, 0), (1, 0), (2, 0), (2, 5), (0, 6)]
 
 
+def test_packing_stays_full_with_many_more_long_pieces_than_bins(spark):
+    draw = np.random.default_rng(4)
+    sizes = np.concatenate([draw.integers(1025, 1800, 12_000), draw.integers(50, 900, 22_000)]).tolist()
+    items = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "id int, length bigint").coalesce(1)
+    sequences = packing.packed(items).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("id").alias("m")).collect()
+    assert sum(r.m for r in sequences) == len(sizes) and max(r.n for r in sequences) <= 2048
+    assert len(sequences) <= 1.01 * -(-sum(sizes) // 2048)
+
+
 def test_rule_counts(spark, documents, odd):
     for table in (documents, odd):
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
