@@ -179,7 +179,8 @@ def judged(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
 
     A row fails the base rules with fewer than 10 words or over 20 percent of its words in repeated five-word windows. Trees are
     grown on at most ``sample`` rows (those of lowest id hash); every row is scored. The threshold is the lowest anomaly above which
-    at most ``lost_good`` of all rows labelled ``quality`` 1 lie; without labels nothing beyond the base rules is rejected.
+    at most ``lost_good`` of all rows labelled ``quality`` 1 lie, so never above their highest; only without any such label nothing
+    beyond the base rules is rejected.
     ``labels`` (doc_id, quality) may repeat or miss rows and hold nulls, which are ignored. Repeated rows repeat, null texts are
     empty (and fail), empty input gives an empty table.
     """
@@ -204,7 +205,7 @@ def judged(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     good = labels.where("quality = 1").select("doc_id").distinct()
     bins = scored.join(good, "doc_id").groupBy(F.floor(F.col("anomaly") * s.bins).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     histogram = dict(bins.collect())  # at most one row for each bin
-    spare, limit = s.lost_good * sum(histogram.values()), 2.0
+    spare, limit = s.lost_good * sum(histogram.values()), (max(histogram) + 1) / s.bins if histogram else 2.0
     for k in sorted(histogram, reverse=True):
         spare -= histogram[k]
         if spare < 0:

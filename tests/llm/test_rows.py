@@ -133,6 +133,17 @@ def test_quality_verdicts(spark, sf, documents, odd):
     assert quality.judged(documents.limit(0), labels).count() == 0
 
 
+def test_few_clean_labels_set_a_threshold(spark):
+    words = "river stone garden window market letter evening paper bridge forest".split()
+    draw = np.random.default_rng(2)
+    rows = [(k, " ".join(draw.permutation(words)) + " runs over.") for k in range(100)]
+    rows.append((100, " ".join("#$%&*|"[k % 6:] + "<>#$"[: k % 5] + str(k) for k in range(40))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(100)], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
+    assert not got[100].base_failed and not got[100].kept and all(got[k].kept for k in range(100))
+
+
 def test_secrets(spark, documents, odd):
     for table in (documents, odd):
         rows = {(r.doc_id, r.text): plain.base_spans(r.text) for r in table.collect()}
