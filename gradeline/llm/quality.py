@@ -25,7 +25,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 class Settings:
     """Forest size, and the share of rows labelled good that the threshold may lose at most.
 
-    ``sample`` bounds the rows that trees are grown on; counts, scores and the threshold use all rows.
+    ``sample`` bounds the rows that trees are grown on; counts, usual ranges, scores and the threshold use all rows.
     """
 
     trees: int = 100
@@ -120,13 +120,51 @@ def ratios(columns: dict[str, np.ndarray]) -> np.ndarray:
                             c["n_upper"] / chars, c["n_digits"] / chars, c["n_stops"] / words])
 
 
+#: Bins of the medians: a width of 0.1 percent of a statistic over 0.001, then so many parts of each.
+_FINE, _LEAST, _PARTS = 1000, 0.001, 4096
+
+
+def medians(counts: DataFrame, middle: np.ndarray | None = None) -> np.ndarray:
+    """Lower median over all rows of ``counts`` of every statistic, or of its distance from ``middle``, to six digits or better.
+
+    All rows are counted in bins, then those of the middle bin in finer ones. Only counts of bins leave the tasks.
+    """
+    def counted(within: np.ndarray | None) -> dict[int, list[tuple[int, int]]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = ratios({c: batch.column(c).to_numpy() for c in COUNTS})
+                rows = np.arcsinh((rows if middle is None else np.abs(rows - middle)) / _LEAST) * _FINE
+                for f, own in enumerate(rows.T):
+                    own = np.floor(own) if within is None else np.floor(own[np.floor(own) == within[f]] * _PARTS)
+                    bins, n = np.unique(own.astype(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(bins), f), pa.int32()), pa.array(bins), pa.array(n, pa.int64())], ["f", "bin", "n"])
+
+        sums = counts.select(*COUNTS).mapInArrow(run, "f int, bin bigint, n bigint").groupBy("f", "bin").agg(F.sum("n"))
+        found: dict[int, list[tuple[int, int]]] = {}
+        for f, k, n in sums.collect():
+            found.setdefault(f, []).append((k, n))
+        return {f: sorted(found[f]) for f in sorted(found)}
+
+    coarse, before, total = [], [], 0
+    for own in counted(None).values():
+        upto = np.cumsum([n for _, n in own])
+        total = int(upto[-1])
+        at = int(np.searchsorted(2 * upto, total))
+        coarse.append(own[at][0])
+        before.append(int(upto[at]) - own[at][1])
+    fine = [own[int(np.searchsorted(2 * (b + np.cumsum([n for _, n in own])), total))][0]
+            for b, own in zip(before, counted(np.array(coarse)).values(), strict=True)]
+    return np.sinh(np.array(fine) / _PARTS / _FINE) * _LEAST
+
+
 class Excess:
-    """How far a statistic lies beyond its usual range, median plus ``reach`` median deviations (0.02 at least); usual values are all 0."""
+    """How far a statistic lies above its usual range, median plus ``reach`` median deviations (0.02 at least); usual and low
+    values are all 0, so the forest does not see outliers on the low side. Seeing both sides costs more than it finds: so many good
+    rows stray low that the threshold, which may lose few of them, then keeps most bad rows too (figures in REPLY_r02.md)."""
 
-    def __init__(self, rows: np.ndarray, reach: float):
-        self.middle = np.median(rows, 0)
-        self.spread = np.maximum(np.median(np.abs(rows - self.middle), 0), 0.02)
-        self.reach = reach
+    def __init__(self, middle: np.ndarray, spread: np.ndarray, reach: float):
+        self.middle, self.spread, self.reach = middle, np.maximum(spread, 0.02), reach
 
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         return np.maximum((rows - self.middle) / self.spread - self.reach, 0.0)
@@ -191,7 +229,8 @@ def judged(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     if drawn.empty:
         return counts.withColumns({"base_failed": failed, "anomaly": F.lit(0.0), "kept": F.lit(False)})
     known = ratios({c: drawn[c].to_numpy() for c in COUNTS})
-    excess = Excess(known, s.reach)
+    middle = medians(counts)
+    excess = Excess(middle, medians(counts, middle), s.reach)
     forest = Forest(excess(known), s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

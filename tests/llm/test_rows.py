@@ -133,6 +133,24 @@ def test_quality_verdicts(spark, sf, documents, odd):
     assert quality.judged(documents.limit(0), labels).count() == 0
 
 
+def test_usual_ranges_come_from_all_rows(spark, documents, monkeypatch):
+    made = []
+
+    class Kept(quality.Excess):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(quality, "Excess", Kept)
+    quality.judged(documents, documents.limit(0).withColumn("quality", F.lit(1)), quality.Settings(trees=2, sample=9))
+    table = quality.statistics(documents).toPandas()
+    rows = quality.ratios({c: table[c].to_numpy() for c in quality.COUNTS})
+    middle = np.quantile(rows, 0.5, axis=0, method="inverted_cdf")
+    assert np.allclose(made[0].middle, middle, rtol=1e-5, atol=1e-9)
+    deviation = np.quantile(np.abs(rows - middle), 0.5, axis=0, method="inverted_cdf")
+    assert np.allclose(made[0].spread, np.maximum(deviation, 0.02), rtol=1e-4)
+
+
 def test_few_clean_labels_set_a_threshold(spark):
     words = "river stone garden window market letter evening paper bridge forest".split()
     draw = np.random.default_rng(2)
