@@ -194,6 +194,33 @@ def varied(blocks: list[Block], labels: list[int], draw: np.random.Generator) ->
     return page, marks
 
 
+def made(count: int, draw: np.random.Generator) -> list[tuple[list[Block], list[int]]]:
+    """Pages of invented words with their labels, for tables of which no page names its article: short, often linked blocks around
+    and between an article of a heading, paragraphs and a list."""
+    syllables = "ba ce di fo gu la me ni or pa re si to un va we is an th er".split()
+
+    def text(least: int, most: int, stops: bool) -> str:
+        words = ["".join(draw.choice(syllables, draw.integers(1, 4))) for _ in range(draw.integers(least, most))]
+        words = [word + (str(draw.choice([".", ",", ";"])) if stops and draw.random() < 0.15 else "") for word in words]
+        return " ".join(words) + ("." if stops and draw.random() < 0.9 else "")
+
+    def around() -> list[Block]:
+        path = ("html", *_FRAMES[draw.integers(len(_FRAMES))])
+        return [Block(text(1, 12 if draw.random() < 0.8 else 40, draw.random() < 0.3), path, float(draw.random() < 0.5)) for _ in range(draw.integers(1, 7))]
+
+    out = []
+    for _ in range(count):
+        before, after = [b for _ in range(draw.integers(1, 4)) for b in around()], [b for _ in range(draw.integers(1, 4)) for b in around()]
+        home = ("html", "body", "article")
+        article = [Block(text(3, 14, False), (*home, "h1"), 0.0)]
+        for _ in range(draw.integers(2, 12)):
+            kind = draw.random()
+            path = (*home, "p") if kind < 0.75 else (*home, "ul", "li") if kind < 0.9 else (*home, "h2")
+            article.append(Block(text(2, 10, False) if path[-1] == "h2" else text(8, 120, True), path, float(draw.random()) * 0.2))
+        out.append((before + article + after, [0] * len(before) + [1] * len(article) + [0] * len(after)))
+    return out
+
+
 class Labeller:
     """A bidirectional LSTM with a logistic output for every block."""
 
@@ -271,12 +298,13 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def trained(pages: list[str], s: Settings) -> Labeller | None:
-    """A labeller fitted to the labels that the element names of ``pages`` give; none without any block of the article."""
+def trained(pages: list[str], s: Settings) -> Labeller:
+    """A labeller fitted to the labels that the element names of ``pages`` give. Pages without any block of a named article say
+    nothing about theirs and are left out; without any other page the labeller learns from ``made`` pages."""
     known = [(blocks, [label_of(b) for b in blocks]) for blocks in map(blocks_of, pages) if blocks]
-    if not any(any(labels) for _, labels in known):
-        return None
+    known = [(blocks, labels) for blocks, labels in known if any(labels)]
     draw = np.random.default_rng(s.seed)
+    known = known or made(s.sample, draw)
     model = Labeller(s.path_size + s.word_size + 8, s)
     first = {k: np.zeros_like(v) for k, v in model.weights.items()}
     second = {k: np.zeros_like(v) for k, v in model.weights.items()}
@@ -319,10 +347,11 @@ def main_texts(pages: list[str], model: Labeller, s: Settings) -> list[str]:
     return out
 
 
-def fit(pages: DataFrame, settings: Settings = Settings()) -> Labeller | None:
-    """Train on a bounded draw of ``pages`` (page_id, html): those of lowest id hash."""
+def fit(pages: DataFrame, settings: Settings = Settings()) -> Labeller:
+    """Train on a bounded draw of those ``pages`` (page_id, html) that name an article: those of lowest id hash."""
     s = settings
-    drawn = lowest_hashed(pages.where(F.length("html").between(1, s.longest)).select("page_id", "html"), ["page_id"], s.sample)
+    named = pages.where(F.length("html").between(1, s.longest) & F.col("html").rlike(rf"(?i)<({'|'.join(sorted(MAIN_TAGS))})[\s/>]"))
+    drawn = lowest_hashed(named.select("page_id", "html"), ["page_id"], s.sample)
     return trained([r["html"] for r in drawn.collect()], s)
 
 

@@ -243,6 +243,30 @@ def test_pages(spark, sf):
         "Second part with more words, and so forth until the very end of it."]
 
 
+def _plain_pages(spark, around, count):
+    words = "river stone garden window market letter evening paper bridge forest".split()
+    draw = np.random.default_rng(6)
+    part = lambda n: " ".join(draw.choice(words, n)) + ", and so on."
+    rows = [(k, "u", f'<html><body><nav><ul><li><a href="/a">Home{k}</a></li><li><a href="/b">About</a></li></ul></nav>{around[0]}<h1>Heading {k}</h1>'
+                     f'<p>first{k} {part(40)}</p><p>{part(60)} last{k}</p>{around[1]}<footer><p>Imprint{k}</p></footer></body></html>') for k in range(count)]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+
+@pytest.mark.parametrize("around", [('<div class="content">', "</div>"), ('<section class="story">', "</section>")])
+def test_pages_that_name_no_article(spark, around):
+    table = _plain_pages(spark, around, 12)
+    for r in pages.main_text(table, pages.fit(table)).collect():
+        assert f"first{r.page_id} " in r.text and f" last{r.page_id}" in r.text and "About" not in r.text and "Imprint" not in r.text
+
+
+def test_pages_that_name_no_article_do_not_unteach(spark, sf):
+    named = spark.read.parquet(f"{sf}/pages.parquet").limit(40)
+    plain = _plain_pages(spark, ('<div class="content">', "</div>"), 200).withColumn("page_id", F.col("page_id") + 10**6)
+    own = pages.fit(named)
+    both = pages.fit(named.select("page_id", "url", "html").unionByName(plain.select("page_id", "url", "html")))
+    assert all(np.allclose(own.weights[k], both.weights[k], atol=1e-3) for k in own.weights)
+
+
 def test_labeller_gradients():
     s = pages.Settings(path_size=3, word_size=2, hidden=3)
     draw = np.random.default_rng(0)
