@@ -21,15 +21,20 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _IS_STOP = np.zeros(256, bool)
 _IS_STOP[list(b".,;:!?")] = True
 
-#: Fixed values of HTML: elements without content, elements whose content is not markup, elements inside a line of text.
+#: Fixed values of HTML: elements without content, elements whose content is not markup and that run to the end of a page if
+#: unclosed, elements that hold no text of a page but must be closed to be left out, elements inside a line of text (formulas
+#: included), and elements with a block of their own that stand inside a paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OPAQUE = frozenset("script style noscript template textarea title iframe object svg math select option button".split())
+RAW = frozenset("script style template textarea title iframe".split())
+CLOSED = frozenset("svg select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub "
-                   "sup time tt u var wbr".split())
-CLOSED_BY_NEXT = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
+                   "sup time tt u var wbr math annotation menclose mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub "
+                   "msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+APART = frozenset("button noscript object".split())
+CLOSED_BY_NEXT = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th"}
 
 #: Elements and parts of class names that mark what is not the article, for the labels the network learns from.
-OTHER_TAGS = frozenset("nav header footer aside form menu dialog figure".split())
+OTHER_TAGS = frozenset("nav header footer aside form menu dialog figure button".split())
 OTHER_NAMES = re.compile(r"\b(ad|ads|advert\w*|banner|comments?|cookie\w*|footer|header|menu|modal|nav\w*|newsletter|notice\w*|popup|promo\w*|related|"
                          r"reply|replies|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)\b", re.I)
 MAIN_TAGS = frozenset("article main".split())
@@ -60,7 +65,8 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order. Tags may be unclosed, crossed or upper case; comments and opaque elements hold no text."""
+    """The blocks of a page in order. Tags may be unclosed, crossed or upper case; comments, raw elements, drawings and
+    choices hold no text; an unclosed drawing or choice ends with its tag, an option with the next tag."""
     stack: list[tuple[str, tuple[str, ...]]] = []  # open elements, each with the path down to it
     found: list[Block] = []
     parts: list[str] = []
@@ -106,16 +112,24 @@ def blocks_of(page: str) -> list[Block]:
             close()
         if tag in VOID:
             continue
-        if tag in OPAQUE and not mark.group(3).endswith("/"):
+        if tag in RAW and not mark.group(3).endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
+        if tag in CLOSED:
+            end = None if mark.group(3).endswith("/") else re.compile(rf"<(/?){tag}\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end and end.group(1) else at  # the end after another start is not this one's
+            continue
+        if tag == "option":
+            after = page.find("<", at)
+            at = size if after < 0 else after
+            continue
         if tag not in INLINE:
             while stack and stack[-1][0] in INLINE:  # an inline element left open ends with its block
                 links -= stack.pop()[0] == "a"
             if stack and stack[-1][0] in CLOSED_BY_NEXT.get(tag, "").split():
                 stack.pop()
-            elif stack and stack[-1][0] == "p" and tag != "br":
+            elif stack and stack[-1][0] == "p" and tag not in APART:
                 stack.pop()
         path = stack[-1][1] if stack else ()
         if tag not in INLINE:
@@ -172,7 +186,7 @@ def label_of(block: Block) -> int:
 _FRAMES = (("body", "header"), ("body", "div", ".site-header"), ("body", "aside"), ("body", "div", ".sidebar"), ("body", "form"),
            ("body", "div", ".cookie-notice"), ("body", "section", ".comments"), ("body", "article", "section", ".comments", "div"),
            ("body", "div", ".comment"), ("body", "div", ".banner"), ("body", "div", ".promo"), ("body", "div", ".menu", "ul", "li"),
-           ("body", "footer", "p"), ("body", "article", "aside"), ("body", "article", "footer"), ("body", "div", ".related", "ul", "li"))
+           ("body", "footer", "p"), ("body", "article", "aside"), ("body", "article", "footer"), ("body", "article", "p", "button"), ("body", "div", ".related", "ul", "li"))
 _ARTICLES = (("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".post-body"), ("div", ".entry-content"), ("section", ".story"))
 
 

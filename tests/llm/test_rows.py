@@ -243,6 +243,18 @@ def test_pages(spark, sf):
         "Second part with more words, and so forth until the very end of it."]
 
 
+def test_blocks_after_unclosed_elements_and_inside_closed_ones():
+    of = lambda page: [b.text for b in pages.blocks_of(page)]
+    for tag in ("button", "object", "noscript", "math", "svg", "select"):
+        assert any(t.endswith("kept") for t in of(f"<p>first</p><{tag} class=x><p>kept")), tag
+    assert of("<datalist><option value=a>one<option>two</datalist><p>kept</p><select><option>x</select><p>end") == ["kept", "end"]
+    assert of("<p>first</p><select><option>a<p>kept</p><select><option>b</select><p>end</p>")[-2:] == ["kept", "end"]
+    assert of("<p>where <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds</p>") == ["where x=2 holds"]
+    assert of("<p>one <noscript>two</noscript> three</p><object>four</object>") == ["one", "two", "three", "four"]
+    assert [b.path for b in pages.blocks_of("<p>one <button>two</button> three</p>")] == [("p",), ("p", "button"), ("p",)]
+    assert of("a<script>var t = '</p>'; x") == ["a"] and of("<svg><text>t</text></svg>b<select><option>c</select>") == ["b"]
+
+
 def _plain_pages(spark, around, count):
     words = "river stone garden window market letter evening paper bridge forest".split()
     draw = np.random.default_rng(6)
