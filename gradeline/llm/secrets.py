@@ -23,15 +23,20 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX.replace("+", "{%d,}" % LEAST_HEX))
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: "=" parts tokens unless it pads one at its end.
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_-]))?")
+_PLAIN_RUN, _URL_RUN = re.compile(r"[A-Za-z0-9+/]{16,}=*"), re.compile(r"[A-Za-z0-9_-]{16,}=*")
 
 #: Alphabets a token may be written in, the narrowest first.
 ENCODINGS = {
     "digits": "0123456789",
     "hex": "0123456789abcdef",
     "hex_upper": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
@@ -129,9 +134,16 @@ def _length_class(start: str, stop: str):
 
 
 def _tokens_of(text: str) -> list[tuple[int, int, float, float]]:
-    """(start, end, p_random, p_word) of the tokens that the battery can test; words of letters alone are none."""
-    tested = ((m, battery(m.group())) for m in _TOKEN.finditer(text) if not m.group().isalpha())
-    return [(m.start(), m.end(), t[1], t[2]) for m, t in tested if t]
+    """(start, end, p_random, p_word) of the tokens that the battery can test, by start. A token in no one alphabet, with + or / and
+    - or _, is tested as its runs in either of base64's alphabets; such runs may overlap."""
+    found = []
+    for m in _TOKEN.finditer(text):
+        if encoding_of(m.group().rstrip("=")):
+            spans = {m.span()}
+        else:
+            spans = {r.span() for run in (_PLAIN_RUN, _URL_RUN) for r in run.finditer(text, *m.span())}
+        found += [(a, b, t[1], t[2]) for a, b in sorted(spans) if (t := battery(text[a:b]))]
+    return found
 
 
 def cuts(found: DataFrame, s: Settings) -> dict[int, float]:

@@ -181,6 +181,18 @@ def test_secrets(spark, documents, odd):
     assert secrets.secret_spans(one.limit(0)).count() == 0
 
 
+def test_secrets_after_equals_in_mixed_tokens_and_of_letters(spark):
+    raw = base64.b64encode(hashlib.sha512(b"r").digest()).decode().rstrip("=").replace("/", "a").replace("+", "b")
+    plain, url = raw[:20] + "+/" + raw[20:40], raw[40:60] + "_-" + raw[60:80]
+    letters = "".join(c for k in range(6) for c in base64.b64encode(hashlib.sha512(bytes([k])).digest()).decode() if c.isalpha())[:60]
+    docs = [f"x signature={raw}&y", f"x {plain}-id x", f"x id/{url} x", f"x {letters} x", f"x {plain}== x"]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    found = {r.doc_id: [docs[r.doc_id][s.start:s.stop] for s in r.spans if s.kind == 3] for r in secrets.secret_spans(table).collect()}
+    assert found[0] == [raw] and plain in found[1] and f"{url}" in found[2] and found[3] == [letters] and found[4] == [plain + "=="]
+    masked = " ".join(r.text for r in secrets.masked(table, "[x]").collect())
+    assert not any(part in masked for part in (raw, plain, url, letters))
+
+
 def test_battery_tells_words_from_noise():
     noise = [base64.urlsafe_b64encode(hashlib.sha256(bytes([k])).digest()).decode().rstrip("=") for k in range(200)]
     assert np.mean([secrets.battery(x)[1] >= 0.001 for x in noise]) > 0.97
