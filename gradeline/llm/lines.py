@@ -72,9 +72,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A run of whole lines with at least ``min_words`` words goes from a text when the same run stands earlier: in a document of smaller
     (doc_id, text hash; null last), or before it in the same one without overlap. Windows are the shortest runs of ``min_words``
-    words that start or end at a line; each is found through its least line hash, joined with the first window of equal lines, and
-    the matched windows that follow each other on either side make up the whole run, so none of at least ``min_words`` words is
-    missed and shorter ones stay. Lines compare without spaces at their ends; lines without a word take no part, but go when they lie inside a
+    words that start or end at a line; all whose least line hash stands for another window, too, are matched in full with the first
+    window of equal lines, and the union of the matched windows takes the place of growing matches, so no run of at least
+    ``min_words`` words is missed and shorter ones stay. So does a repeated passage inside a longer line that differs. Lines compare without spaces at their ends; lines without a word take no part, but go when they lie inside a
     run. Rows equal in doc_id and text are one document: both keep or lose the same lines. Null stays null, empty texts stay
     empty, columns of the same names as the two counts are replaced, empty input gives an empty table.
     """
