@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeline.llm import bpe, exact, lines, minhash, packing, pages, quality, secrets, shards, toxicity
+from gradeline.llm import bpe, exact, lines, minhash, packing, pages, quality, secrets, shards, toxicity, turntrie
+from gradeline.session import checkpointed
 
 SHARDS = 40
 
@@ -83,6 +84,12 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    sequences = checkpointed(turntrie.encoded(_table(spark, sf_dir, "conversations")))
+    return turntrie.prefix_nodes(turntrie.with_shared_heads(sequences))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": near_duplicates,
     "op2_byte_bpe": byte_bpe,
@@ -94,11 +101,19 @@ QUERIES = {
     "op8_html_extraction": html_extraction,
     "op9_quality_rules": quality_rules,
     "op10_exact_dedup": exact_duplicates,
+    "op11_conversation_trie": conversation_trie,
 }
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# The byte table of the checksum, for SQL engines without the function.
+_CRC_TABLE = """steps as (
+  select i, i::bigint as c, 0 as k from range(256) r(i)
+  union all
+  select i, xor(c >> 1, (c & 1) * 3988292384), k + 1 from steps where k < 8),
+byte_table as (select list(c order by i) as t from steps where k = 8)"""
+
 ORACLES = {
     "op1_minhash_near_dedup": f"""
 with recursive worded as (select doc_id, regexp_extract_all({_LOWER}, '{_WORD}') as w from documents),
@@ -153,11 +168,7 @@ kept as (
 select d.doc_id, case when d.text is null then 0 else lines end as lines, lines_removed, sha256(rest) as text_sha256
 from documents d join kept using (doc_id)""",
     "op6_byte_shards": f"""
-with recursive steps as (
-  select i, i::bigint as c, 0 as k from range(256) r(i)
-  union all
-  select i, xor(c >> 1, (c & 1) * 3988292384), k + 1 from steps where k < 8),
-byte_table as (select list(c order by i) as t from steps where k = 8),
+with recursive {_CRC_TABLE},
 hexed as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
 bytes as (
   select doc_id, len(h) // 2 as n, list_transform(range(len(h) // 2), lambda i:
@@ -183,4 +194,35 @@ ranked as (
     row_number() over (partition by norm order by points desc, doc_id) as place
   from stripped)
 select doc_id, keep_id, group_size, place = 1 as kept, sha256(norm) as text_sha256 from ranked""",
+    "op11_conversation_trie": f"""
+with recursive {_CRC_TABLE},
+turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first) as place, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+cut as (
+  select conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 9 as h
+  from (select distinct conv_id from turns), byte_table),
+rebuilt as (
+  select c.conv_id, place, role, text from cut c join turns t on t.conv_id = c.conv_id - c.conv_id % 5 and place <= h
+  union all
+  select c.conv_id, place, role, text from cut c join turns t on t.conv_id = c.conv_id and place > h),
+listed as (
+  select c.conv_id, coalesce(list(sha256(strlen(role) || ':' || role || text) order by place) filter (where place is not null), []) as keys,
+    coalesce(list(strlen(text) order by place) filter (where place is not null), []) as sizes
+  from cut c left join rebuilt using (conv_id) group by c.conv_id),
+steps_of as (select conv_id, keys, sizes, unnest(range(len(keys) + 1)) as depth from listed),
+nodes as (
+  select array_to_string(keys[1:depth], ',') as node, depth, min(conv_id) as conv_id, count(*) as n_convs, max(coalesce(sizes[depth], 0)) as size,
+    case when depth > 0 then array_to_string(any_value(keys)[1:depth - 1], ',') end as up, any_value(keys) as keys,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where len(keys) = depth), '')) as ends_sha256
+  from steps_of group by 1, 2),
+kids as (select up, count(*) as n_children from nodes where depth > 0 group by up, depth),
+sums as (
+  select array_to_string(keys[1:d], ',') as node, d as depth, sum((n_convs - 1) * size) as saved_tokens, sum((k is null)::int) as n_leaves
+  from (select nodes.keys, n_convs, size, unnest(range(nodes.depth + 1)) as d, kids.n_children as k
+    from nodes left join kids on kids.up = nodes.node) group by 1, 2)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::bigint as n_children,
+  s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, n.ends_sha256
+from nodes n left join nodes p on p.node = n.up and p.depth = n.depth - 1 left join kids k on k.up = n.node join sums s on s.node = n.node and s.depth = n.depth""",
 }
