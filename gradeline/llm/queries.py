@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeline.llm import bpe, exact, lines, minhash, packing, pages, quality, secrets, shards, toxicity, turntrie
+from gradeline.llm import bpe, exact, lines, minhash, packing, pages, quality, secrets, shards, substrings, toxicity, turntrie
 from gradeline.session import checkpointed
 
 SHARDS = 40
@@ -90,6 +90,14 @@ def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turntrie.prefix_nodes(turntrie.with_shared_heads(sequences))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and removed bytes of every document, and a digest of the bytes that no repeated string of 400 bytes covers."""
+    done = substrings.without_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.coalesce(F.sha2("kept", 256), F.col("text_sha256")).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": near_duplicates,
     "op2_byte_bpe": byte_bpe,
@@ -102,6 +110,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules,
     "op10_exact_dedup": exact_duplicates,
     "op11_conversation_trie": conversation_trie,
+    "op13_substring_dedup": substring_dedup,
 }
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -225,4 +234,21 @@ sums as (
 select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::bigint as n_children,
   s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, n.ends_sha256
 from nodes n left join nodes p on p.node = n.up and p.depth = n.depth - 1 left join kids k on k.up = n.node join sums s on s.node = n.node and s.depth = n.depth""",
+    "op13_substring_dedup": """
+with hexed as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+blocks as (select r, b, substr(h, 2 * b + 1, 1310) as part from (select r, h, unnest(range(0, greatest(len(h) // 2 - 399, 0), 256)) as b from hexed)),
+windows as (
+  select r, b + i as p, md5(substr(part, 2 * i + 1, 800)) as w
+  from (select r, b, part, unnest(range(0, least(256, len(part) // 2 - 399))) as i from blocks)),
+again as (select r, p from windows where w in (select w from windows group by w having count(*) > 1)),
+marked as (select r, p, case when p > lag(p) over (partition by r order by p) + 400 then 1 else 0 end as fresh from again),
+runs as (select r, p, sum(fresh) over (partition by r order by p) as k from marked),
+spans as (select r, k, min(p) as a, max(p) + 400 as b from runs group by r, k),
+gaps as (select r, k, a, b, coalesce(lag(b) over (partition by r order by a), 0) as prior from spans),
+cut as (
+  select g.r, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * prior + 1, 2 * (a - prior)), '' order by a) as heads, max(b) as last
+  from gaps g join hexed on hexed.r = g.r group by g.r)
+select doc_id, len(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(heads, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from hexed left join cut on cut.r = hexed.r""",
 }
