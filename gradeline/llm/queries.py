@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeline.llm import bpe, exact, lines, minhash, packing, pages, quality, secrets, shards, substrings, toxicity, turntrie
+from gradeline.llm import bpe, exact, lines, minhash, negatives, packing, pages, quality, secrets, shards, substrings, toxicity, turntrie
 from gradeline.session import checkpointed
 
 SHARDS = 40
@@ -90,6 +90,13 @@ def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turntrie.prefix_nodes(turntrie.with_shared_heads(sequences))
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh move on by one."""
+    rows = negatives.usable(_table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumns({"label": moved, "anchor": F.col("vec_id") % 100 == 0}))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and removed bytes of every document, and a digest of the bytes that no repeated string of 400 bytes covers."""
     done = substrings.without_repeats(_table(spark, sf_dir, "documents"))
@@ -110,6 +117,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules,
     "op10_exact_dedup": exact_duplicates,
     "op11_conversation_trie": conversation_trie,
+    "op12_hard_negatives": hard_negatives,
     "op13_substring_dedup": substring_dedup,
 }
 
@@ -234,6 +242,23 @@ sums as (
 select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::bigint as n_children,
   s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, n.ends_sha256
 from nodes n left join nodes p on p.node = n.up and p.depth = n.depth - 1 left join kids k on k.up = n.node join sums s on s.node = n.node and s.depth = n.depth""",
+    "op12_hard_negatives": """
+with rows as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+anchors as (select * from rows where vec_id % 100 = 0),
+scored as (
+  select a.r as ar, a.vec_id as anchor_id, b.r as br, b.vec_id, a.label = b.label as alike, list_inner_product(a.v::double[], b.v::double[])::bigint as score
+  from anchors a join rows b on a.r <> b.r),
+positives as (
+  select * from (select *, row_number() over (partition by ar order by score desc, vec_id) as k from scored where alike) where k <= 5),
+windows as (
+  select p.ar, p.anchor_id, p.k, p.vec_id as positive_id, p.score as positive_score, n.vec_id as negative_id, n.score as negative_score,
+    row_number() over (partition by p.ar, p.k order by n.score desc, n.vec_id) as rank
+  from positives p join scored n on n.ar = p.ar and not n.alike and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from windows where rank <= 5""",
     "op13_substring_dedup": """
 with hexed as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 blocks as (select r, b, substr(h, 2 * b + 1, 1310) as part from (select r, h, unnest(range(0, greatest(len(h) // 2 - 399, 0), 256)) as b from hexed)),
