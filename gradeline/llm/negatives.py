@@ -152,7 +152,7 @@ def _first(scores: np.ndarray, vec_id: np.ndarray, uid: np.ndarray, count: int)
         at = np.flatnonzero(scores >= np.partition(scores, len(scores) - count)[len(scores) - count])
     else:
         at = np.arange(len(scores))
-    return at[np.lexsort((uid[at], vec_id[at], -scores[at].astype(np.float64), -scores[at]))[:count]]
+    return at[np.lexsort((uid[at], vec_id[at], -scores[at]))[:count]]
 
 
 def _block_of(row: dict, dims: int, kind: str) -> Block:
