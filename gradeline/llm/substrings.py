@@ -284,7 +284,8 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> tuple[Da
     texts = _keyed(docs.select("text")).where(F.octet_length("text") >= least)
     anchors = stored(texts.select("text", "k1", "k2").mapInArrow(_anchor_rows(settings), _ANCHORS), "anchors")
     several = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
-    grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("total"), several.alias("several")).where("total > 1")
+    # Written, not only summed: joins of two plain shuffles are the ones that adaptive execution splits at a hot gram.
+    grams = stored(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("total"), several.alias("several")).where("total > 1"), "grams")
     shared = stored(anchors.join(grams.select("gram", "several"), "gram"), "shared")
     holders = shared.select("k1", "k2").distinct()
     bodies = stored(texts.select("k1", "k2", F.col("text").cast("binary").alias("body")).groupBy("k1", "k2").agg(
@@ -293,7 +294,7 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> tuple[Da
     whole = _spans(shared.where("not several"), least)
     unlike = shared.where("several")
     place = F.struct("k1", "k2", "lo", "before", "span")
-    kinds = checkpointed(unlike.groupBy("gram", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")))
+    kinds = stored(unlike.groupBy("gram", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "kinds")
     copies = kinds.where("n > 1").select("gram", "d1", "d2")
     whole = whole.unionByName(_spans(unlike.join(copies, ["gram", "d1", "d2"], "left_semi"), least))
     open_grams = kinds.groupBy("gram").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("kinds")).where("fewest = 1 and kinds > 1")
