@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from gradeline import views
 from gradeline.catalog.base import query, r9, rounded, s9
-from gradeline.catalog.bootstrap import MARGINS
+from gradeline.catalog.bootstrap import MARGINS, R
 from gradeline.catalog.cohort import BASE_SQL, BLOCKS_SQL, FOLDS, SHARE
 from gradeline.catalog.features import feature_rows
 from gradeline.catalog.metrics import metric_sql
 from gradeline.catalog.text import STOP
 from gradeline.functions import columns as C
-from gradeline.operators import boosting, calibration, fusion, models, roles, scoring, terms
+from gradeline.operators import boosting, calibration, fusion, linear, models, roles, scoring, terms
 from gradeline.plans import features as P
 from gradeline.plans import runs
 
@@ -36,9 +36,12 @@ def fold_rows(spark, sf):
 
 def logistic(features=None, **settings):
     """A fitter over a subset of the feature list."""
-    chosen = features or NUM + CAT
-    numeric, categorical = [c for c in NUM if c in chosen], [c for c in CAT if c in chosen]
-    return lambda rows: models.fit_logistic(rows, numeric, categorical, models.LogisticSettings(**settings))
+    return linear.Logistic(tuple(NUM), tuple(CAT), models.LogisticSettings(**settings), None if features is None else tuple(features))
+
+
+def pipeline(**settings):
+    """The same model as a persistable Spark ML pipeline."""
+    return lambda rows: models.fit_logistic(rows, NUM, CAT, models.LogisticSettings(**settings))
 
 
 def trees(settings=TREES):
@@ -48,7 +51,7 @@ def trees(settings=TREES):
 @query("logistic_coefficients")
 def logistic_coefficients(spark, sf):
     """M2, M4: balanced logistic coefficients by name (a unit test solves the same optimum by Newton steps)."""
-    model = logistic()(role_rows(spark, sf, "base_fit").persist())
+    model = pipeline()(role_rows(spark, sf, "base_fit").persist())
     return rounded(models.coefficients(model, NUM, CAT), 4)
 
 
@@ -131,11 +134,12 @@ def grid_rank(spark, sf):
 
 @query("search_trials")
 def search_trials(spark, sf):
-    """Declared trials cross-validated, a failing one recorded, one selected."""
-    declared = [{"trial_id": i, "complexity": t * 2 ** d, "trees": t, "depth": d} for i, (t, d) in enumerate([(4, 2), (8, 2), (4, -1)])]
-    make = lambda trial: trees(replace(TREES, trees=trial["trees"], max_depth=trial["depth"]))
-    log = models.run_trials(spark, fold_rows(spark, sf), CV_FOLDS[:2], declared, make, budget=20)
-    return models.select_configuration(log, 2).select(
+    """Declared trials cross-validated on all folds, a failing one recorded, one selected."""
+    tried = [(100, 3, 0.1), (100, 2, 0.1), (60, 3, 0.1), (60, 2, 0.2), (30, 3, 0.3), (40, -1, 0.1)]
+    declared = [{"trial_id": i, "complexity": t * 2 ** max(d, 0), "trees": t, "depth": d, "step": s} for i, (t, d, s) in enumerate(tried)]
+    make = lambda trial: trees(replace(TREES, trees=trial["trees"], max_depth=trial["depth"], step=trial["step"]))
+    log = models.run_trials(spark, fold_rows(spark, sf), CV_FOLDS, declared, make, budget=20)
+    return models.select_configuration(log, CV).select(
         "trial_id", "status", "complexity", r9("roc_auc_mean", 4).alias("roc_auc_mean"), "stable", "eligible", "selected")
 
 
@@ -151,16 +155,16 @@ def comparison(pair):
 def model_comparison(spark, sf):
     """Boosted trees against the logistic model on identical rows and folds."""
     variants = {"logistic": logistic(), "trees": trees()}
-    return comparison(models.compare_variants(fold_rows(spark, sf), CV_FOLDS, variants, [("trees", "logistic")], 50))
+    return comparison(models.compare_variants(fold_rows(spark, sf), CV_FOLDS, variants, [("trees", "logistic")], R))
 
 
 @query("family_ablation")
 def family_ablation(spark, sf):
     """The model without each feature family in turn, against all features."""
     sets = P.feature_sets(P.DEFAULT, P.FAMILIES)
-    variants = {name: logistic(names, max_iter=50, tol=1e-6) for name, names in sets.items()}
+    variants = {name: logistic(names) for name, names in sets.items()}
     pairs = [(name, "all") for name in sets if name != "all"]
-    return comparison(models.compare_variants(fold_rows(spark, sf), CV_FOLDS[:2], variants, pairs, 30, metrics=("roc_auc", "pr_auc")))
+    return comparison(models.compare_variants(fold_rows(spark, sf), CV_FOLDS, variants, pairs, R))
 
 
 @query("extra_feature_comparison")
@@ -169,8 +173,9 @@ def extra_feature_comparison(spark, sf):
     rows = role_rows(spark, sf, "base_fit")
     extra = views.loans(spark, sf).select("loan_id", F.col("p_b").alias("density"))
     long = roles.expanding_folds(rows.join(extra, "loan_id", "left").persist(), CV, SHARE).persist()
-    variants = {"base": logistic(balanced=False), "with_density": lambda r: models.fit_logistic(r, [*NUM, "density"], CAT, models.LogisticSettings(balanced=False))}
-    return comparison(models.compare_variants(long, CV_FOLDS, variants, [("with_density", "base")], 30))
+    whole = linear.Logistic((*NUM, "density"), tuple(CAT), models.LogisticSettings(balanced=False))
+    variants = {"base": replace(whole, uses=(*NUM, *CAT)), "with_density": whole}
+    return comparison(models.compare_variants(long, CV_FOLDS, variants, [("with_density", "base")], R))
 
 
 @query("candidate_scores")
@@ -185,7 +190,7 @@ def candidate_scores(spark, sf):
 def model_reload(spark, sf):
     """A saved and reloaded model must give exactly the same scores."""
     rows = role_rows(spark, sf, "base_fit", "validation").persist()
-    return runs.reload_equality(rows.filter("role = 'base_fit'"), rows.filter("role = 'validation'"), logistic())
+    return runs.reload_equality(rows.filter("role = 'base_fit'"), rows.filter("role = 'validation'"), pipeline())
 
 
 # ---- text models -----------------------------------------------------------------------------
@@ -330,7 +335,7 @@ def candidate_calibration(spark, sf):
 @query("method_choice")
 def method_choice(spark, sf):
     """Pairwise method deltas, the sequential method choice and the champion rule."""
-    return runs.calibration_decision(calibration_rows(spark, sf), "p_a", "p_b", MARGINS, replicates=40)
+    return runs.calibration_decision(calibration_rows(spark, sf), "p_a", "p_b", MARGINS, replicates=R)
 
 
 @query("recorded_metrics", f"""with s as (select case role when 'validation' then 'validation' else 'calibration' end as "set", p_a as p, target from loans where role in ('fusion_calibration', 'validation')), {metric_sql('s', '"set"')},
@@ -374,7 +379,7 @@ def stacking_rows(spark, sf):
 @query("stacker")
 def stacker(spark, sf):
     """Stacker on one role, Platt on the next, every version graded on validation with paired intervals."""
-    return runs.stacking(stacking_rows(spark, sf), {"tabular_only": ["tabular"], "tabular_text": ["tabular", "text"]}, replicates=30)[0]
+    return runs.stacking(stacking_rows(spark, sf), {"tabular_only": ["tabular"], "tabular_text": ["tabular", "text"]}, replicates=R)[0]
 
 
 @query("stacker_predictions")

@@ -27,14 +27,14 @@ def poisson_thresholds(limit: int = 12) -> list[int]:
     return cuts
 
 
-def replicate_coefficients(seed: int, replicates: int) -> list[tuple[int, int, int, int]]:
-    """Four residues per replicate: a cubic over a prime field makes draws 4-wise independent."""
+def replicate_coefficients(seed: int, replicates: int) -> list[tuple[int, ...]]:
+    """Seven residues per replicate: a cubic in a row's first residue and one without constant in its second, over a prime field."""
     import hashlib
 
     rows = []
     for replicate in range(replicates):
-        digest = hashlib.md5(f"{seed}|{replicate}".encode()).hexdigest()
-        rows.append(tuple(int(digest[i:i + 8], 16) % MODULUS for i in (0, 8, 16, 24)))
+        digest = hashlib.sha256(f"{seed}|{replicate}".encode()).hexdigest()
+        rows.append(tuple(int(digest[i:i + 8], 16) % MODULUS for i in range(0, 56, 8)))
     return rows
 
 
