@@ -63,6 +63,15 @@ class Preparation:
         return np.where(y == 1, total / (2 * self.sizes[1]), total / (2 * self.sizes[0])) if balanced else np.ones(len(y))
 
 
+def _number(value: float) -> str:
+    return f"({value!r}D)"
+
+
+def _text(value: str) -> str:
+    quoted = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{quoted}'"
+
+
 @dataclass(frozen=True)
 class LogisticModel:
     """Fitted coefficients over a preparation; a feature left out has none."""
@@ -72,22 +81,27 @@ class LogisticModel:
     intercept: float
     kept: tuple[int, ...] = field(default=())
 
-    def margin(self) -> Column:
-        """The linear predictor as one column expression."""
-        p, total, k = self.preparation, F.lit(self.intercept), 0
+    def margin_sql(self) -> str:
+        """The linear predictor as SQL text."""
+        p, terms, k = self.preparation, [_number(self.intercept)], 0
         by_place = dict(zip(self.kept, self.coefficients, strict=True))
         for c, middle, mean, deviation in zip(p.numeric, p.middle, p.mean, p.deviation, strict=True):
             if k in by_place:
-                x = F.col(c).cast("double")
-                total += (F.when(x.isNull() | F.isnan(x), F.lit(middle)).otherwise(x) - F.lit(mean)) / F.lit(deviation) * F.lit(by_place[k])
+                x = f"coalesce(nanvl(cast(`{c}` as double), cast(null as double)), {_number(middle)})"
+                terms.append(f"({x} - {_number(mean)}) / {_number(deviation)} * {_number(by_place[k])}")
             k += 1
         for c, levels in zip(p.categorical, p.levels, strict=True):
-            value = F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+            cases = []
             for level in levels:
                 if k in by_place:
-                    total += F.when(value == level, F.lit(by_place[k])).otherwise(F.lit(0.0))
+                    cases.append(f"when {_text(level)} then {_number(by_place[k])}")
                 k += 1
-        return total
+            if cases:
+                terms.append(f"case coalesce(cast(`{c}` as string), 'missing') {' '.join(cases)} else 0D end")
+        return " + ".join(terms)
+
+    def margin(self) -> Column:
+        return F.expr(self.margin_sql())
 
     def score(self, rows: DataFrame, p: str = "p", margin: str | None = None) -> DataFrame:
         z = self.margin()
@@ -100,19 +114,18 @@ class LogisticModel:
 
 def preparations(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str = "target", by: str = "fold") -> dict[int, Preparation]:
     """The preparation of every group of fit rows: one grouped aggregate, and one exact ranking for all their medians."""
-    aggregates = [F.count_if(F.col(target) == k).alias(f"size_{k}") for k in (0, 1)] + [F.count(F.lit(1)).alias("rows")]
+    aggregates = [f"count_if(`{target}` = {k}) as size_{k}" for k in (0, 1)] + ["count(1) as rows"]
     for c in numeric:
-        x = F.col(c).cast("double")
-        x = F.when(~F.isnan(x), x)
-        aggregates += [F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"m_{c}"), F.var_pop(x).alias(f"v_{c}")]
-    aggregates += [F.sort_array(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit("missing")))).alias(f"l_{c}") for c in categorical]
+        x = f"nanvl(cast(`{c}` as double), cast(null as double))"
+        aggregates += [f"count({x}) as `n_{c}`", f"avg({x}) as `m_{c}`", f"var_pop({x}) as `v_{c}`"]
+    aggregates += [f"sort_array(collect_set(coalesce(cast(`{c}` as string), 'missing'))) as `l_{c}`" for c in categorical]
     middles: dict = {}
     if numeric:
         numbers = rows.select(by, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in numeric])
         long = numbers.unpivot([by], list(numeric), "column", "x")
         middles = {(r[by], r["column"]): r["quantile"] for r in exact_quantiles(long, "x", [0.5], [by, "column"]).collect()}
     out = {}
-    for r in rows.groupBy(by).agg(*aggregates).collect():  # one row per group
+    for r in rows.groupBy(by).agg(*map(F.expr, aggregates)).collect():  # one row per group
         if not min(r["size_0"], r["size_1"]):
             raise ContractError("both classes are needed to fit a model")
         if empty := [c for c in numeric if (r[by], c) not in middles]:
@@ -247,10 +260,8 @@ def out_of_fold(long: DataFrame, folds: Sequence[int], variants: Sequence[Logist
     held = wanted.filter("part = 'holdout'")
     out = []
     for k in range(len(variants)):
-        margin = F
-        for f in folds:
-            margin = margin.when(F.col("fold") == f, models[k, f].margin())
-        out.append(held.withColumn("p", 1 / (1 + F.exp(-margin))))
+        margin = " ".join(f"when {int(f)} then {models[k, f].margin_sql()}" for f in folds)
+        out.append(held.withColumn("p", F.expr(f"1D / (1D + exp(-(case fold {margin} end)))")))
     return out
 
 
