@@ -62,8 +62,9 @@ class WordIds:
         """32-bit ids of every text, the end id last."""
         words, known = [_split(text) if text else [] for text in rows], self.known
         missing = [word for word in set().union(*words) if word not in known]
-        # A stop after a letter is a token run of its own, so most words with one need not be encoded again.
-        stems = {word: word[:-1] if word[-1] in ".," and word[-2:-1].isalpha() else word for word in missing}
+        # A stop after a letter is a token run of its own, so most words with one need not be encoded again. Not so after a letter
+        # whose small form ends in a combining mark, which joins the stop.
+        stems = {word: word[:-1] if word[-1] in ".," and word[-2:-1].lower().isalpha() else word for word in missing}
         wanted = [stem for stem in {*stems.values(), ".", ","} if stem not in known]
         found = self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)
         known.batch = {stem: np.array(own.ids, "<u4").tobytes() for stem, own in zip(wanted, found, strict=True)}
