@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from gradeline.llm import texts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-TEXT_LEAF, BYTE_LEAF, CACHED = 16_384, 48, 300_000
+TEXT_LEAF, ID_LEAF, CACHED = 16_384, 4096, 300_000
 
 
 class Codec:
@@ -25,8 +25,16 @@ class Codec:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        lengths = np.zeros(max(self.tokens) + 1, np.int64)
+        for rank, token in self.tokens.items():
+            lengths[rank] = len(token)
+        self.lengths, self.places = lengths, np.cumsum(lengths) - lengths
+        self.octets = np.frombuffer(b"".join(self.tokens[rank] for rank in sorted(self.tokens)), np.uint8)
         self.pieces_of = regex.compile(pattern).findall
-        self.agree = lru_cache(1 << 16)(self._agree)
+        self.agree = lru_cache(1 << 17)(self._agree)
+        # Bounded stores of what recurs: encodings of short halves and of seams. Results do not depend on them.
+        self.short = lru_cache(1 << 17)(self._halved)
+        self.seam = lru_cache(1 << 17)(self.merged)
         self.known = _Pieces(self)
 
     def merged(self, data: bytes) -> list[int]:
@@ -52,22 +60,28 @@ class Codec:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """Ids of one piece of any length. A row of tokens is the encoding exactly when all its neighbours agree."""
-        if len(data) <= BYTE_LEAF:
-            return self.merged(data)
+        return self.short(data) if len(data) <= 8 else self._halved(data)
+
+    def _halved(self, data: bytes) -> list[int]:
+        whole = self.ranks.get(data) if len(data) <= 2 else None
+        if len(data) <= 1 or whole is not None:
+            return [self.ranks[data]] if data else []
         half = len(data) // 2
         return self.joined(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """Join two encodings: re-encode tokens at the seam, growing a side until its outer neighbour agrees."""
+        if self.agree(left[-1], right[0]):
+            return left + right
         i = j = 1
         while True:
             i, j = min(i, len(left)), min(j, len(right))
-            seam = self.merged(b"".join(self.tokens[t] for t in left[len(left) - i:] + right[:j]))
+            seam = self.seam(b"".join([self.tokens[t] for t in left[len(left) - i:] + right[:j]]))
             settled_left = i == len(left) or self.agree(left[-i - 1], seam[0])
             settled_right = j == len(right) or self.agree(seam[-1], right[j])
             if settled_left and settled_right:
                 return left[:len(left) - i] + seam + right[j:]
-            i, j = (i if settled_left else i * 2), (j if settled_right else j * 2)
+            i, j = (i if settled_left else i + 1), (j if settled_right else j + 1)
 
     def pieces(self, text: str) -> list[str]:
         """The pattern's matches over a text of any length, from halves.
@@ -93,10 +107,12 @@ class Codec:
         """Ids of a text as 32-bit integers end to end."""
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
-    def decode(self, ids: list[int]) -> bytes:
-        """Bytes of ids, concatenated up the tree."""
-        if len(ids) <= 4096:
-            return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of ids, concatenated up the tree; a leaf's bytes are gathered from one array of all tokens."""
+        if len(ids) <= ID_LEAF:
+            lengths = self.lengths[ids]
+            first = np.cumsum(lengths) - lengths
+            return self.octets[np.arange(lengths.sum()) + np.repeat(self.places[ids] - first, lengths)].tobytes()
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -148,7 +164,9 @@ def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenize
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                data = [own.decode(ids or []) for ids in part.column("ids").to_pylist()]
+                lengths = part.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                ids = part.column("ids").flatten().to_numpy(zero_copy_only=False)
+                data = [own.decode(row) for row in np.split(ids, np.cumsum(lengths)[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(data, pa.binary())], ["doc_id", "ids", "data"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
