@@ -41,13 +41,17 @@ def _windows(min_words: int) -> Column:
 
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     onward = F.transform(places, lambda a: F.struct(a.alias("a"), reach(F.slice("entries", a + 1, F.lit(min_words))).alias("r")))
-    onward = F.transform(F.filter(onward, lambda x: x["r"]["s"] >= min_words), lambda x: F.struct(x["a"].alias("a"), x["r"]["k"].alias("k")))
+    # First line and count in one long: arrays of longs are united by hashing, arrays of structs by comparing all with all.
+    onward = F.transform(F.filter(onward, lambda x: x["r"]["s"] >= min_words), lambda x: _packed(x["a"], x["r"]["k"]))
     low = lambda b: F.greatest(b - (min_words - 1), F.lit(0))
     back = F.transform(places, lambda b: F.struct(
         b.alias("b"), reach(F.reverse(F.slice("entries", low(b) + 1, b - low(b) + 1))).alias("r")))
-    back = F.transform(F.filter(back, lambda x: x["r"]["s"] >= min_words), lambda x: F.struct(
-        (x["b"] - x["r"]["k"] + 1).alias("a"), x["r"]["k"].alias("k")))
-    return F.transform(F.array_union(onward, back), lambda x: run(x["a"], x["k"]))
+    back = F.transform(F.filter(back, lambda x: x["r"]["s"] >= min_words), lambda x: _packed(x["b"] - x["r"]["k"] + 1, x["r"]["k"]))
+    return F.transform(F.array_union(onward, back), lambda x: run((F.shiftright(x, 32)).cast("int"), x.bitwiseAND(0xFFFFFFFF).cast("int")))
+
+
+def _packed(start: Column, count: Column) -> Column:
+    return F.shiftleft(start.cast("long"), 32).bitwiseOR(count.cast("long"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -86,7 +90,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = F.split("text", "\n")
     gone = F.array_distinct(F.flatten(F.transform("__runs", lambda r: F.sequence(r["start"], r["stop"]))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    cut = F.array_join(F.transform(kept, lambda i: lines[i]), "\n")
+    # The struct binds the lines to one value: inside a lambda, the split would run again for every line.
+    bound = F.array(F.struct(lines.alias("lines"), kept.alias("kept")))
+    cut = F.transform(bound, lambda b: F.array_join(F.transform(b["kept"], lambda i: b["lines"][i]), "\n"))[0]
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     removed = F.when(F.col("__runs").isNull(), 0).otherwise(F.size(gone))
     text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(cut).alias("text")
