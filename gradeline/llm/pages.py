@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from gradeline.llm import texts
 from gradeline.llm.ranks import lowest_hashed
 
-_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+# Possessive, and outside quotes a tag ends before the next "<" at the latest: no start of a tag is read far or twice.
+_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^<>"']++)*+)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 _IS_STOP = np.zeros(256, bool)
@@ -55,30 +57,93 @@ class Settings:
     seed: int = 3
 
 
+class Path:
+    """The open block-level elements above a text, linked upwards: an element's tag and names, and what holds for it and all above."""
+
+    __slots__ = ("above", "names", "depth", "other", "main")
+
+    def __init__(self, above: Path | None, names: tuple[str, ...]):
+        self.above, self.names = above, names
+        self.depth = len(names) + (above.depth if above else 0)
+        self.other = bool(above and above.other) or any(n in OTHER_TAGS or (n[0] == "." and OTHER_NAMES.search(n[1:])) for n in names)
+        self.main = bool(above and above.main) or any(n in MAIN_TAGS for n in names)
+
+    @classmethod
+    def of(cls, *names: str) -> Path:
+        return cls(None, names)
+
+    def chain(self, known: dict[Path, object]) -> list[Path]:
+        """This path and those above it as far as they are not ``known``, the highest first."""
+        found, at = [], self
+        while at is not None and at not in known:
+            found.append(at)
+            at = at.above
+        return found[::-1]
+
+
 @dataclass
 class Block:
     """A stretch of text between block-level tags: the open elements around it, the names they carry, and its share in links."""
 
     text: str
-    path: tuple[str, ...]
+    path: Path | None
     linked: float
 
 
+class _Open:
+    """Open elements of a page with the path down to each; every step takes the time of what it closes."""
+
+    def __init__(self) -> None:
+        self.tags: list[tuple[str, Path | None]] = []
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []  # places of elements with a block of their own
+        self.links = 0
+
+    @property
+    def top(self) -> str:
+        return self.tags[-1][0] if self.tags else ""
+
+    @property
+    def path(self) -> Path | None:
+        return self.tags[-1][1] if self.tags else None
+
+    def push(self, tag: str, path: Path | None) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag not in INLINE:
+            self.solid.append(len(self.tags))
+        self.links += tag == "a"
+        self.tags.append((tag, path))
+
+    def pop(self) -> None:
+        tag, _ = self.tags.pop()
+        self.places[tag].pop()
+        if tag not in INLINE:
+            self.solid.pop()
+        self.links -= tag == "a"
+
+    def end(self, tag: str) -> None:
+        """Close the last such element and all inside it; an inline one only inside its block."""
+        at = self.places.get(tag)
+        if at and (tag not in INLINE or not self.solid or at[-1] > self.solid[-1]):
+            for _ in range(len(self.tags) - at[-1]):
+                self.pop()
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order. Tags may be unclosed, crossed or upper case; comments, raw elements, drawings and
-    choices hold no text; an unclosed drawing or choice ends with its tag, an option with the next tag."""
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open elements, each with the path down to it
+    choices hold no text; an unclosed drawing or choice ends with its tag, an option with the next tag. A "<" outside quotes ends a
+    tag that was not closed before it, which then counts as text. Time and memory grow with the page, however deep it nests."""
+    opened = _Open()
     found: list[Block] = []
     parts: list[str] = []
     linked = [0, 0]  # characters inside links, and all of the open block
-    links = 0  # open links
     at, size = 0, len(page)
 
     def close() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, stack[-1][1] if stack else (), linked[0] / max(1, linked[1])))
+                found.append(Block(text, opened.path, linked[0] / max(1, linked[1])))
             parts.clear()
             linked[:] = 0, 0
 
@@ -86,7 +151,7 @@ def blocks_of(page: str) -> list[Block]:
         if piece:
             parts.append(html.unescape(piece) if "&" in piece else piece)
             linked[1] += len(piece)
-            linked[0] += len(piece) if links else 0
+            linked[0] += len(piece) if opened.links else 0
 
     while at < size:
         mark = _MARK.search(page, at)
@@ -100,48 +165,39 @@ def blocks_of(page: str) -> list[Block]:
             if mark.group().startswith("<![CDATA["):
                 add(mark.group()[9:].removesuffix("]]>"))
             continue
-        if mark.group(1):
-            if tag not in INLINE:
-                close()
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None and (tag not in INLINE or all(t in INLINE for t, _ in stack[depth:])):
-                del stack[depth:]
-                links = links and sum(t == "a" for t, _ in stack)
-            continue
         if tag not in INLINE:
             close()
+        if mark.group(1):
+            opened.end(tag)
+            continue
         if tag in VOID:
             continue
         if tag in RAW and not mark.group(3).endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^<>]*+>", re.I).search(page, at)
             at = end.end() if end else size
             continue
         if tag in CLOSED:
-            end = None if mark.group(3).endswith("/") else re.compile(rf"<(/?){tag}\b[^>]*>", re.I).search(page, at)
+            end = None if mark.group(3).endswith("/") else re.compile(rf"<(/?){tag}\b[^<>]*+>", re.I).search(page, at)
             at = end.end() if end and end.group(1) else at  # the end after another start is not this one's
             continue
         if tag == "option":
             after = page.find("<", at)
             at = size if after < 0 else after
             continue
+        path = opened.path
         if tag not in INLINE:
-            while stack and stack[-1][0] in INLINE:  # an inline element left open ends with its block
-                links -= stack.pop()[0] == "a"
-            if stack and stack[-1][0] in CLOSED_BY_NEXT.get(tag, "").split():
-                stack.pop()
-            elif stack and stack[-1][0] == "p" and tag not in APART:
-                stack.pop()
-        path = stack[-1][1] if stack else ()
-        if tag not in INLINE:
-            path = (*path, tag)
-            if mark.group(3):
-                path += tuple(f".{x.lower()}" for m in _NAMES.finditer(mark.group(3)) for x in (m.group(1) or m.group(2) or m.group(3) or "").split())
-        links += tag == "a"
-        stack.append((tag, path))
+            while opened.top in INLINE:  # an inline element left open ends with its block
+                opened.pop()
+            if opened.top in CLOSED_BY_NEXT.get(tag, "").split() or (opened.top == "p" and tag not in APART):
+                opened.pop()
+            names = [f".{x.lower()}" for m in _NAMES.finditer(mark.group(3)) for x in (m.group(1) or m.group(2) or m.group(3) or "").split()]
+            path = Path(opened.path, (tag, *names))
+        opened.push(tag, path)
     close()
     return found
 
 
+@lru_cache(1 << 16)
 def _bucket(name: str, size: int) -> int:
     h = 2166136261
     for octet in name.encode():
@@ -154,12 +210,16 @@ def features(pages: list[list[Block]], s: Settings) -> list[np.ndarray]:
     blocks = [block for page in pages for block in page]
     sizes = [len(page) for page in pages]
     out = np.zeros((len(blocks), s.path_size + s.word_size + 8), np.float32)
-    paths: dict[tuple[str, ...], int] = {}
-    at = np.array([paths.setdefault(block.path, len(paths)) for block in blocks])
-    rows = np.zeros((len(paths), s.path_size), np.float32)
-    for path, k in paths.items():
-        rows[k, [_bucket(name, s.path_size) for name in path]] = 1
-    out[:, : s.path_size] = rows[at]
+    seen: dict[Path, int] = {}  # the buckets of a path's names and of all above, as bits
+    for k, block in enumerate(blocks):
+        if block.path is not None:
+            for path in block.path.chain(seen):
+                bits = seen[path.above] if path.above else 0
+                for name in path.names:
+                    bits |= 1 << _bucket(name, s.path_size)
+                seen[path] = bits
+            bits = np.frombuffer(seen[block.path].to_bytes(-(-s.path_size // 8), "little"), np.uint8)
+            out[k, : s.path_size] = np.unpackbits(bits, bitorder="little")[: s.path_size]
     octets, offsets = texts.flat(pa.array([b.text for b in blocks], pa.string()))
     octets = texts.lowered(octets)
     starts, ends, rows = texts.word_spans(octets, offsets)
@@ -173,14 +233,13 @@ def features(pages: list[list[Block]], s: Settings) -> list[np.ndarray]:
     out[:, -8:] = np.column_stack([
         np.log1p(words) / 5, length / words / 10, [b.linked for b in blocks], place / np.repeat(np.maximum(sizes, 1), sizes),
         (stops[offsets[1:]] - stops[offsets[:-1]]) / words, [b.text[-1:] in ".!?" for b in blocks],
-        [len(b.path) / 10 for b in blocks], np.ones(len(blocks))])
+        [b.path.depth / 10 if b.path else 0 for b in blocks], np.ones(len(blocks))])
     return np.split(out, np.cumsum(sizes[:-1]))
 
 
 def label_of(block: Block) -> int:
     """Whether a block belongs to the article by the names of the elements around it."""
-    other = any(name in OTHER_TAGS or (name[0] == "." and OTHER_NAMES.search(name[1:])) for name in block.path)
-    return int(not other and any(name in MAIN_TAGS for name in block.path))
+    return int(block.path is not None and block.path.main and not block.path.other)
 
 
 _FRAMES = (("body", "header"), ("body", "div", ".site-header"), ("body", "aside"), ("body", "div", ".sidebar"), ("body", "form"),
@@ -194,14 +253,17 @@ def varied(blocks: list[Block], labels: list[int], draw: np.random.Generator) ->
     """A page as another template might build it: other names around the article, and other kinds of blocks between its parts."""
     around = _ARTICLES[draw.integers(len(_ARTICLES))]
     page, marks = [], []
+    renamed: dict[Path, Path] = {}
     for block, label in zip(blocks, labels, strict=True):
         path = block.path
         if label:
-            path = tuple(y for x in path for y in (around if x in MAIN_TAGS else (x,)))
+            for part in path.chain(renamed):
+                renamed[part] = Path(renamed.get(part.above), tuple(y for x in part.names for y in (around if x in MAIN_TAGS else (x,))))
+            path = renamed[path]
         if draw.random() < 0.15:
             words = blocks[draw.integers(len(blocks))].text.split()
             first, count = draw.integers(len(words)), draw.integers(2, 40)
-            page.append(Block(" ".join(words[first:first + count]) or "more", ("html", *_FRAMES[draw.integers(len(_FRAMES))]), float(draw.random() < 0.3)))
+            page.append(Block(" ".join(words[first:first + count]) or "more", Path.of("html", *_FRAMES[draw.integers(len(_FRAMES))]), float(draw.random() < 0.3)))
             marks.append(0)
         page.append(Block(block.text, path, block.linked))
         marks.append(label)
@@ -219,18 +281,18 @@ def made(count: int, draw: np.random.Generator) -> list[tuple[list[Block], list[
         return " ".join(words) + ("." if stops and draw.random() < 0.9 else "")
 
     def around() -> list[Block]:
-        path = ("html", *_FRAMES[draw.integers(len(_FRAMES))])
+        path = Path.of("html", *_FRAMES[draw.integers(len(_FRAMES))])
         return [Block(text(1, 12 if draw.random() < 0.8 else 40, draw.random() < 0.3), path, float(draw.random() < 0.5)) for _ in range(draw.integers(1, 7))]
 
     out = []
     for _ in range(count):
         before, after = [b for _ in range(draw.integers(1, 4)) for b in around()], [b for _ in range(draw.integers(1, 4)) for b in around()]
         home = ("html", "body", "article")
-        article = [Block(text(3, 14, False), (*home, "h1"), 0.0)]
+        article = [Block(text(3, 14, False), Path.of(*home, "h1"), 0.0)]
         for _ in range(draw.integers(2, 12)):
             kind = draw.random()
             path = (*home, "p") if kind < 0.75 else (*home, "ul", "li") if kind < 0.9 else (*home, "h2")
-            article.append(Block(text(2, 10, False) if path[-1] == "h2" else text(8, 120, True), path, float(draw.random()) * 0.2))
+            article.append(Block(text(2, 10, False) if path[-1] == "h2" else text(8, 120, True), Path.of(*path), float(draw.random()) * 0.2))
         out.append((before + article + after, [0] * len(before) + [1] * len(article) + [0] * len(after)))
     return out
 

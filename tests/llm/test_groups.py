@@ -134,3 +134,10 @@ def test_pipeline_takes_odd_columns(spark, sf):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 3
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_texts_of_very_many_lines(spark):
+    body = [f"line {k % 150_000} of a long text" for k in range(200_000)]
+    docs = spark.createDataFrame([(1, "\n".join(body)), (2, "\n".join(body[:50])), (3, "alone")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["lines"], r["lines_removed"]) for r in lines.dedup_lines(docs).collect()}
+    assert got == {1: (200_000, 50_000), 2: (50, 50), 3: (1, 0)}

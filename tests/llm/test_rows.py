@@ -263,7 +263,8 @@ def test_blocks_after_unclosed_elements_and_inside_closed_ones():
     assert of("<p>first</p><select><option>a<p>kept</p><select><option>b</select><p>end</p>")[-2:] == ["kept", "end"]
     assert of("<p>where <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds</p>") == ["where x=2 holds"]
     assert of("<p>one <noscript>two</noscript> three</p><object>four</object>") == ["one", "two", "three", "four"]
-    assert [b.path for b in pages.blocks_of("<p>one <button>two</button> three</p>")] == [("p",), ("p", "button"), ("p",)]
+    names = lambda path: [n for part in path.chain({}) for n in part.names]
+    assert [names(b.path) for b in pages.blocks_of("<p>one <button>two</button> three</p>")] == [["p"], ["p", "button"], ["p"]]
     assert of("a<script>var t = '</p>'; x") == ["a"] and of("<svg><text>t</text></svg>b<select><option>c</select>") == ["b"]
 
 
@@ -317,3 +318,55 @@ def test_labeller_gradients():
 
 def test_query_columns():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+HAZARDS = {
+    "open tags": "<a" * 100_000, "open tags with names": '<a class="x" ' * 50_000, "nested": "<div>x" * 100_000, "unclosed quote": '<a title="' + "<a 'b " * 50_000,
+    "ends": "<b>" + "<div>t</b>" * 50_000, "many inline": "<i>" * 40_000 + "<p>x" + "</b></i>" * 40_000, "raw ends": "<script>" + "</script" * 50_000,
+    "raw starts": "<svg><select>" * 50_000, "comments": "<!--" * 50_000, "quotes": "<p a='\"'" * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HAZARDS))
+def test_malformed_pages_take_linear_time(name):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.process_time()
+    blocks = pages.blocks_of(HAZARDS[name])
+    taken, (_, most) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert taken < 15 and most < 200e6  # traced: several times slower than it runs
+    if name == "nested":
+        assert len(blocks) == 100_000 and blocks[-1].path.depth == 100_000
+        assert pages.features([blocks], pages.Settings())[0].shape[0] == 100_000
+
+
+def test_words_whose_small_form_holds_a_mark_keep_their_stop(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.TOKENIZER)
+    rng = np.random.default_rng(5)
+    letters = list("abIİıßé\u0307ÅǅΣ.,'A ")
+    rows = ["İ,", "İ.", "aİ,", "Ä°,", *("".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(4000))]
+    got = packing.WordIds(packing.TOKENIZER).of(rows)
+    for text, data in zip(rows, got, strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], text
+
+
+def test_most_new_pieces_are_joined_from_halves():
+    import tiktoken
+
+    own = bpe.Codec(bpe.RANKS, public_tokenizers.PATTERN)
+    joins = []
+    plain_join = own.joined
+    own.joined = lambda left, right: joins.append(1) or plain_join(left, right)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        text = "".join(rng.choice(list("abcdefgh étion\n  9世界"), rng.integers(1, 60)))
+        assert np.frombuffer(own.encode(text), np.int32).tolist() == known.encode_ordinary(text)
+    assert len(joins) > 300
+    ids = list(map(int, rng.integers(0, 40_000, 20_000)))
+    assert own.decode(np.array(ids, np.int32)) == known.decode_bytes(ids)
