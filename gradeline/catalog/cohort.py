@@ -207,14 +207,18 @@ def hash_uniform(spark, sf):
     return views.loans(spark, sf).select("loan_id", draw(F.col("loan_id"), "draw-7").alias("u"))
 
 
-@query("stratified_folds", f"""with {BASE_SQL}, d as (select *, {U.format(salt='kfold-42', key='loan_id')} as u from base)
-  select loan_id, target, cast((row_number() over (partition by target order by u, loan_id) - 1) % 5 as integer) as fold from d""", "loans")
+D = "('0x' || substr(md5(concat_ws('|', '{salt}', cast({key} as varchar))), 1, 15))::bigint"
+
+
+@query("stratified_folds", f"""with {BASE_SQL}, d as (select *, {D.format(salt='kfold-42', key='loan_id')} as u from base),
+  r as (select loan_id, target, row_number() over (partition by target order by u) as k, count(*) over (partition by target) as n from d)
+  select loan_id, target, cast((k > (n + 4) // 5)::int + (k > (2 * n + 4) // 5)::int + (k > (3 * n + 4) // 5)::int + (k > (4 * n + 4) // 5)::int as integer) as fold from r""", "loans")
 def stratified_folds(spark, sf):
     """Shuffled stratified k-fold over seeded draws."""
     return roles.stratified_folds(base_rows(spark, sf), "loan_id", 5, "kfold-42").select("loan_id", "target", "fold")
 
 
-@query("stratified_sample", f"""with d as (select *, {U.format(salt='sample-42', key='loan_id')} as u from loans where split = 'train'),
+@query("stratified_sample", f"""with d as (select *, {D.format(salt='sample-42', key='loan_id')} as u from loans where split = 'train'),
   c as (select target, count(*) as n, 500.0::double * count(*) / sum(count(*)) over () as x from d group by target),
   q as (select target, floor(x) + case when row_number() over (order by x - floor(x) desc, target) <= 500 - sum(floor(x)) over () then 1 else 0 end as quota from c)
   select loan_id, target from (select *, row_number() over (partition by target order by u, loan_id) as k from d) join q using (target) where k <= quota""", "loans")

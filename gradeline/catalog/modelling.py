@@ -296,17 +296,30 @@ def platt_penalised(spark, sf):
     return calibrator_row(spark, calibration.fit_platt(rows, "p_a", eps=1e-12, penalised=True))
 
 
-@query("isotonic_fit", f"""with g as (select p_a as p, sum(target) as pos, count(*) as n, row_number() over (order by p_a) as i from loans where role = 'fusion_calibration' group by p_a),
+ISOTONIC_SQL = f"""with g as (select p_a as p, sum(target) as pos, count(*) as n, row_number() over (order by p_a) as i from loans where role = 'fusion_calibration' group by p_a),
   c as (select i, p, sum(pos) over (order by i) as cp, sum(n) over (order by i) as cn, pos, n from g),
   m as (select a.i as i, b.i as j, (b.cp - a.cp + a.pos)::double / (b.cn - a.cn + a.n)::double as mean from c a join c b on b.i >= a.i),
   s as (select i, j, min(mean) over (partition by i order by j rows between current row and unbounded following) as low from m),
   f as (select j as i, max(low) as fit from s group by j)
-  select p, {s9('least(greatest(fit, 1e-6::double), 1 - 1e-6::double)')} as calibrated from f join c using (i)""", "loans")
-def isotonic_fit(spark, sf):
-    """The isotonic fit at every calibration score (its SQL is the max-min formula)."""
+  select p, {s9('least(greatest(fit, 1e-6::double), 1 - 1e-6::double)')} as calibrated from f join c using (i)"""
+
+
+def isotonic_scores(spark, sf, **options):
     rows = views.loans(spark, sf).filter("role = 'fusion_calibration'")
     scores = rows.groupBy(F.col("p_a").alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    return rounded(calibration.fit_isotonic(rows, "p_a").apply(scores, "p", "calibrated").select("p", "calibrated"))
+    return rounded(calibration.fit_isotonic(rows, "p_a", **options).apply(scores, "p", "calibrated").select("p", "calibrated"))
+
+
+@query("isotonic_fit", ISOTONIC_SQL, "loans")
+def isotonic_fit(spark, sf):
+    """The isotonic fit at every calibration score (its SQL is the max-min formula)."""
+    return isotonic_scores(spark, sf)
+
+
+@query("isotonic_ranges", ISOTONIC_SQL, "loans")
+def isotonic_ranges(spark, sf):
+    """The same fit from ranges of about forty scores, whose ends are pooled until none violate the order."""
+    return isotonic_scores(spark, sf, rows_per_range=40)
 
 
 def calibration_rows(spark, sf):

@@ -129,6 +129,16 @@ def lexicon_sentiment(spark, sf):
     return rounded(lexical.lexicon_sentiment(documents(spark, sf), "doc_id", X.words(F.col("text")), table))
 
 
+@query("ordered_sentiment")
+def ordered_sentiment(spark, sf):
+    """Polarity and subjectivity in token order with negations and intensifiers (a unit test reads tokens in plain Python)."""
+    word = views.table(spark, sf, "benchmark").select(F.explode(X.words(F.col("text"))).alias("word")).distinct()
+    size = F.length("word")
+    kind = F.when(size % 11 == 0, "negation").when(size % 7 == 0, "boost").otherwise("score")
+    table = word.select("word", kind.alias("kind"), ((size % 5 - 2) / F.lit(2.0)).alias("polarity"), ((size % 4) / F.lit(4.0)).alias("subjectivity"), F.lit(1.3).alias("intensity"))
+    return rounded(lexical.ordered_sentiment(documents(spark, sf), "doc_id", X.words(F.col("text")), table))
+
+
 QUALITY = "fq as (select unnest(['title', 'purpose', 'desc']) as field, unnest([title, purpose, \"desc\"]) as raw from fields)"
 CLEAN = f"case when lower({SQUEEZE('raw')}) in ('nan', 'none', 'null', 'n/a', 'na', '<na>') then '' else {SQUEEZE('raw')} end"
 

@@ -18,6 +18,12 @@ def hash_uniform(key: Column, salt: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def hash_digits(key: Column, salt: str) -> Column:
+    """Whole-number draw from the first 60 bits of md5(salt|key)."""
+    digest = F.md5(F.concat_ws("|", F.lit(salt), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def poisson_thresholds(limit: int = 12) -> list[int]:
     """Integer cut points of the Poisson(1) distribution on 0..MODULUS-1."""
     total, cuts = 0.0, []

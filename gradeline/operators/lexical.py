@@ -30,16 +30,52 @@ def keyword_sources(rows: DataFrame, keywords: Sequence[str] = DISTRESS_KEYWORDS
 def lexicon_sentiment(docs: DataFrame, key: str, tokens: Column, lexicon: DataFrame) -> DataFrame:
     """Mean polarity and subjectivity of the tokens that a (word, polarity, subjectivity) table knows; 0 without any.
 
-    Tokens are counted per document first. The lexicon is broadcast only after its size is
+    The lexicon meets the tokens first, so only sums per document are shuffled. It is broadcast only after its size is
     checked; a larger one is joined by shuffle, where adaptive execution splits a hot word.
     """
-    counted = docs.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
-    scored = counted.join(small_side(lexicon), "word").groupBy(key).agg(
-        (F.sum(F.col("polarity") * F.col("_n")) / F.sum("_n")).alias("_p"), (F.sum(F.col("subjectivity") * F.col("_n")) / F.sum("_n")).alias("_s"))
+    known = docs.select(key, F.explode(tokens).alias("word")).join(small_side(lexicon), "word")
+    scored = known.groupBy(key).agg(F.avg("polarity").alias("_p"), F.avg("subjectivity").alias("_s"))
     return docs.select(key).join(scored, key, "left").select(
         key, F.coalesce("_p", F.lit(0.0)).alias("sentiment_polarity"), F.coalesce("_s", F.lit(0.0)).alias("sentiment_subjectivity"))
 
 
+NEGATED_SHARE = -0.5
+
+
+def ordered_sentiment(docs: DataFrame, key: str, tokens: Column, lexicon: DataFrame) -> DataFrame:
+    """Polarity and subjectivity of each document read in token order, from a table (word, kind, polarity, subjectivity, intensity).
+
+    ``kind`` is score, boost or negation. A boost multiplies the next word's numbers by its intensity, and boosts in a row multiply; a
+    negation turns the next word's polarity by -0.5, and with boosts between the two their intensity divides. Any other word of two
+    or more letters in between ends the effect; single letters are passed over. Numbers stay within [-1, 1] and [0, 1]; a document is
+    the mean of its scored words, 0 without any. Only words of the table leave the scan; a fold over them in order is the state
+    machine. ``key`` must be unique.
+    """
+    words = docs.select(key, F.posexplode(F.filter(tokens, lambda t: F.length(t) > 1)).alias("at", "word"))
+    known = words.join(small_side(lexicon), "word").groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("at", "kind", "polarity", "subjectivity", "intensity"))).alias("_w"))
+    number = F.lit(0.0)
+    start = F.struct(F.lit(-2).alias("at"), F.lit(1.0).alias("boost"), F.lit(False).alias("negated"), number.alias("p"), number.alias("s"), F.lit(0).alias("n"))
+
+    def step(state: Column, w: Column) -> Column:
+        near = state["at"] == w["at"] - 1
+        boost = F.when(near, state["boost"]).otherwise(1.0)
+        negated = near & state["negated"]
+        factor = F.when(negated, F.lit(NEGATED_SHARE) / boost).otherwise(boost)
+        polarity = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), w["polarity"] * factor))
+        subjectivity = F.greatest(number, F.least(F.lit(1.0), w["subjectivity"] * F.when(negated, 1.0 / boost).otherwise(boost)))
+        scores, boosts = w["kind"] == "score", w["kind"] == "boost"
+        return F.struct(
+            w["at"].alias("at"), F.when(boosts, boost * w["intensity"]).otherwise(1.0).alias("boost"),
+            F.when(boosts, negated).otherwise(w["kind"] == "negation").alias("negated"),
+            (state["p"] + F.when(scores, polarity).otherwise(0.0)).alias("p"), (state["s"] + F.when(scores, subjectivity).otherwise(0.0)).alias("s"),
+            (state["n"] + scores.cast("int")).alias("n"))
+
+    read = known.select(key, F.aggregate("_w", start, step).alias("_r"))
+    mean = lambda c: F.coalesce(ratio(F.col(f"_r.{c}"), F.col("_r.n"), 0.0), F.lit(0.0))
+    return docs.select(key).join(read, key, "left").select(key, mean("p").alias("sentiment_polarity"), mean("s").alias("sentiment_subjectivity"))
+
+
 def point_biserial(rows: DataFrame, features: Sequence[str], target: str = "target") -> DataFrame:
     """Correlation with a binary target, group means and two-sided p-value; a constant feature raises.
 
@@ -64,23 +100,47 @@ def correlation_p_value(r: float, n: int) -> float:
         return 1.0
     if abs(r) >= 1:
         return 0.0
-    return _beta_tail((n - 2) / 2.0, 0.5, 1.0 - r * r)
-
-
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b) by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return 0.0 if x <= 0 else 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_tail(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    # Evaluate the fraction from the far end; the terms shrink geometrically here.
-    tail = 0.0
-    for m in range(400, 0, -1):
-        even = m // 2
-        d = (even * (b - even) * x / ((a + m - 1) * (a + m))) if m % 2 == 0 else (-(a + even) * (a + b + even) * x / ((a + m - 1) * (a + m)))
-        tail = d / (1.0 + tail)
-    return front / (1.0 + tail)
+    return student_tail(n - 2, r * r)
+
+
+def student_tail(freedom: int, share: float) -> float:
+    """Two-sided Student tail for t**2 = freedom * share / (1 - share).
+
+    Up to 10**6 degrees it is the regularised incomplete beta function by its continued fraction, in log space with a series for the
+    ratio of gamma functions; beyond, the normal tail of Wallace's transformed t, whose error falls with the square of the degrees.
+    """
+    if share <= 0:
+        return 1.0
+    if freedom > 1_000_000:
+        z = (8 * freedom + 1) / (8 * freedom + 3) * math.sqrt(-freedom * math.log1p(-share))
+        return math.erfc(z / math.sqrt(2))
+    a = freedom / 2.0
+    front = math.exp(_log_gamma_ratio(a) - math.lgamma(0.5) + a * math.log1p(-share) + 0.5 * math.log(share))
+    if share < 1.5 / (a + 2.5):
+        return 1.0 - front * _beta_fraction(0.5, a, share) / 0.5
+    return front * _beta_fraction(a, 0.5, 1.0 - share) / a
+
+
+def _log_gamma_ratio(a: float) -> float:
+    """ln(gamma(a + 1/2) / gamma(a)); the difference of two large logarithms would lose its last digits."""
+    if a < 20:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    return 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5) + 17 / (14336 * a**7)
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, evaluated forwards until it no longer changes."""
+    small = 1e-300
+    c, d = 1.0, 1.0 / ((1.0 - (a + b) * x / (a + 1)) or small)
+    value = d
+    for m in range(1, 100_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / ((1.0 + term * d) or small)
+            c = (1.0 + term / c) or small
+            value *= c * d
+        if abs(c * d - 1.0) < 1e-16:
+            break
+    return value
 
 
 def outcome_summary(rows: DataFrame, features: Sequence[str], target: str = "target") -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeline.functions.columns import is_month, month_number
-from gradeline.functions.sampling import hash_uniform
+from gradeline.functions.sampling import hash_digits
 from gradeline.operators.checks import check_rows
 from gradeline.operators.ordering import attach
+from gradeline.session import checkpointed
 
 
 def range_table(spark: SparkSession, ranges: Sequence[tuple[str, str, str, str]]) -> DataFrame:
@@ -122,38 +123,52 @@ def fold_checks(long: DataFrame, folds: int) -> DataFrame:
         check_rows(ids, ["fit_and_holdout", "held_out_twice"]))
 
 
-def stratified_rank(rows: DataFrame, key: str, salt: str, by: str = "target", ranges: int | None = None) -> DataFrame:
-    """1-based ``draw_rank`` of every row inside its class, in seeded-draw order.
+_DIGIT = 20
 
-    Draws are uniform, so equal-width draw ranges hold equal shares and no task sorts a whole class.
+
+def stratified_cuts(drawn: DataFrame, wanted: DataFrame, by: str = "target") -> DataFrame:
+    """(by, n, cut): for every class the draw below or at which exactly its ``n`` lowest rows lie (-1 for none).
+
+    Radix selection on 60-bit draws, twenty bits at a time: counts per class and digit give the digit in which the n-th row lies,
+    and only rows of that digit are counted again. No row is sorted; a count table has at most 2**20 digits per class and cut. Draws
+    must differ, as those of unique keys do.
     """
-    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = rows.withColumn("_u", hash_uniform(F.col(key), salt)).withColumn(
-        "_range", F.floor(F.col("_u") * ranges).cast("int"))
-    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = drawn.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
-        by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    inside = Window.partitionBy(by, "_range").orderBy("_u", key)
-    return drawn.join(starts, [by, "_range"]).select(
-        *rows.columns, (F.row_number().over(inside) + F.col("_s")).cast("long").alias("draw_rank"))
+    state = wanted.select(by, "n", F.col("n").alias("left"), F.lit(0).cast("long").alias("prefix"))
+    digits = drawn.select(F.col(by).alias("_by"), "_d")
+    for shift in (2 * _DIGIT, _DIGIT, 0):
+        inside = digits.join(F.broadcast(state.where("left > 0")), F.col("_by").eqNullSafe(F.col(by)) & (F.shiftright("_d", shift + _DIGIT) == F.col("prefix")))
+        counts = inside.groupBy(by, "n", "left", F.shiftright("_d", shift).alias("digit")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(by, "n").orderBy("digit"))
+        hit = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("left")) & (F.col("_upto") - F.col("_c") < F.col("left")))
+        found = checkpointed(hit.select(by, "n", (F.col("left") - F.col("_upto") + F.col("_c")).alias("left"), F.col("digit").alias("prefix")))
+        state = found  # one row per class and cut
+    none = wanted.where("n <= 0").select(by, "n", F.lit(-1).cast("long").alias("cut"))
+    return state.select(by, "n", F.col("prefix").alias("cut")).unionByName(none)
 
 
 def stratified_folds(rows: DataFrame, key: str, folds: int, salt: str, by: str = "target") -> DataFrame:
-    """Shuffled stratified k-fold: class sizes per fold differ by at most one."""
-    ranked = stratified_rank(rows, key, salt, by)
-    return ranked.select(*rows.columns, F.pmod(F.col("draw_rank") - 1, F.lit(folds)).cast("int").alias("fold"))
+    """Shuffled stratified k-fold: class sizes per fold differ by at most one. A fold is a stretch of its class's draws."""
+    drawn = rows.withColumn("_d", hash_digits(F.col(key), salt))
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))  # one row per class
+    ends = sizes.select(by, F.explode(F.transform(F.sequence(F.lit(1), F.lit(folds - 1)), lambda k: F.ceil(k * F.col("_size") / folds).cast("long"))).alias("n"))
+    cuts = stratified_cuts(drawn, ends.distinct(), by)
+    starts = ends.join(cuts.withColumnRenamed(by, "_by").withColumnRenamed("n", "_n"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("n") == F.col("_n")))
+    per_class = F.broadcast(starts.groupBy(F.col(by).alias("_class")).agg(F.collect_list("cut").alias("_cuts")))
+    fold = F.size(F.filter("_cuts", lambda c: c < F.col("_d")))
+    return drawn.join(per_class, F.col(by).eqNullSafe(F.col("_class"))).select(*rows.columns, fold.cast("int").alias("fold"))
 
 
 def stratified_sample(rows: DataFrame, key: str, n: int, salt: str, by: str = "target") -> DataFrame:
-    """Exactly n rows; class quotas by largest remainder, rows by lowest seeded draw."""
+    """Exactly n rows; class quotas by largest remainder, rows by lowest seeded draw, found without sorting any."""
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))  # one row per class
     exact = F.lit(float(n)) * F.col("_size") / F.sum("_size").over(Window.partitionBy())
     quotas = sizes.withColumn("_exact", exact).withColumn("_floor", F.floor("_exact").cast("long"))
     spare = F.lit(n) - F.sum("_floor").over(Window.partitionBy())
     order = F.row_number().over(Window.orderBy((F.col("_exact") - F.col("_floor")).desc(), F.col(by)))
-    quotas = quotas.select(by, (F.col("_floor") + F.when(order <= spare, 1).otherwise(0)).alias("_quota"))
-    ranked = stratified_rank(rows, key, salt, by)
-    return ranked.join(F.broadcast(quotas), by).filter(F.col("draw_rank") <= F.col("_quota")).select(*rows.columns)
+    quotas = quotas.select(by, (F.col("_floor") + F.when(order <= spare, 1).otherwise(0)).cast("long").alias("n"))
+    drawn = rows.withColumn("_d", hash_digits(F.col(key), salt))
+    cuts = F.broadcast(stratified_cuts(drawn, quotas, by).select(F.col(by).alias("_class"), "cut"))
+    return drawn.join(cuts, F.col(by).eqNullSafe(F.col("_class")) & (F.col("_d") <= F.col("cut"))).select(*rows.columns)
 
 
 def class_weights(rows: DataFrame, target: str = "target") -> DataFrame:

@@ -14,9 +14,15 @@ METRICS = ("roc_auc", "pr_auc", "brier_score", "log_loss")
 HIGHER_IS_BETTER = {"roc_auc": True, "pr_auc": True, "brier_score": False, "log_loss": False}
 
 
+def present(p: Column | str) -> Column:
+    """The score as a double; a NULL or NaN one ends the job, whatever the size and path of the aggregate that reads it."""
+    value = (F.col(p) if isinstance(p, str) else p).cast("double")
+    return F.when(value.isNull() | F.isnan(value), F.raise_error(F.lit("scores must be present numbers"))).otherwise(value)
+
+
 def score_groups(df: DataFrame, p: str = "p", y: str = "target", by: Sequence[str] = ()) -> DataFrame:
     """Counts per distinct score; ties and hot scores collapse on the map side."""
-    return df.groupBy(*by, F.col(p).cast("double").alias("p")).agg(
+    return df.groupBy(*by, present(p).alias("p")).agg(
         F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg"))
 
 
@@ -85,6 +91,7 @@ def best_f1(ranked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def confusion(p: Column, y: Column, threshold: float | Column) -> list[Column]:
     """Aggregates tn, fp, fn, tp at ``p >= threshold``."""
+    p = present(p)
     flagged = p >= (threshold if isinstance(threshold, Column) else F.lit(float(threshold)))
     return [
         F.count_if(~flagged & (y == 0)).alias("tn"), F.count_if(flagged & (y == 0)).alias("fp"),
@@ -93,6 +100,7 @@ def confusion(p: Column, y: Column, threshold: float | Column) -> list[Column]:
 
 
 def f1_at(p: Column, y: Column, threshold: float) -> Column:
+    p = present(p)
     tp = F.count_if((p >= threshold) & (y == 1))
     return ratio(2 * tp, F.count_if(p >= threshold) + F.count_if(y == 1), 0.0)
 
@@ -109,7 +117,7 @@ def curve_points(df: DataFrame, p: str = "p", y: str = "target", by: Sequence[st
 
 def counts_between(df: DataFrame, thresholds: Sequence[float], p: str, y: str, by: Sequence[str]) -> DataFrame:
     """Rows and events per gap between thresholds: (by..., gap, n, events), gap = thresholds <= p."""
-    return with_range(df.select(*by, p, y), p, thresholds, "gap").groupBy(*by, "gap").agg(
+    return with_range(df.select(*by, present(p).alias(p), y), p, thresholds, "gap").groupBy(*by, "gap").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"))
 
 

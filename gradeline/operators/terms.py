@@ -38,13 +38,27 @@ def ngrams(tokens: str, low: int, high: int) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def counted(items: Column) -> Column:
+    """array<struct<term, tf>> of an array's distinct items: runs of the sorted array, so nothing leaves the row.
+
+    The sorted array is bound to a lambda variable; inside a nested lambda its expression would be evaluated for every item.
+    """
+    def runs(s: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(s))
+        starts = F.filter(places, lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        bound = F.array(F.struct(s.alias("s"), F.concat(starts, F.array(F.size(s) + 1)).alias("b"), starts.alias("f")))
+        return F.flatten(F.transform(bound, lambda x: F.transform(x["f"], lambda at, k: F.struct(
+            F.get(x["s"], at - 1).alias("term"), (F.get(x["b"], k + 1) - at).cast("long").alias("tf")))))
+
+    return F.flatten(F.transform(F.array(F.sort_array(items)), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(
+        F.array().cast("array<struct<term: string, tf: bigint>>"))))
+
+
 def term_counts(docs: DataFrame, text: str, stop_words: Sequence[str], ngram_range: tuple[int, int] = (1, 1),
                 key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
-    """(key, keep..., term, tf). The texts are placed by key once, so no later step on the key moves them again."""
-    places = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = docs.repartition(places, key).select(key, *keep, term_tokens(F.col(text), stop_words).alias("_t"))
-    exploded = tokens.select(key, *keep, F.explode(ngrams("_t", *ngram_range)).alias("term"))
-    return exploded.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, keep..., term, tf), counted inside each row: neither a text nor a token is shuffled. A row is a document."""
+    tokens = docs.select(key, *keep, term_tokens(F.col(text), stop_words).alias("_t"))
+    return tokens.select(key, *keep, F.inline(counted(ngrams("_t", *ngram_range))))
 
 
 def vocabulary(counts: DataFrame, docs: DataFrame, max_features: int) -> DataFrame:
