@@ -15,14 +15,15 @@ from gradeline.catalog.features import feature_rows
 from gradeline.catalog.metrics import metric_sql
 from gradeline.catalog.text import STOP
 from gradeline.functions import columns as C
-from gradeline.operators import boosting, calibration, fusion, linear, models, roles, scoring, terms
+from gradeline.operators import boosting, calibration, fusion, linear, models, roles, scoring, terms, textfit
 from gradeline.plans import features as P
 from gradeline.plans import runs
 
 NUM, CAT = list(P.DEFAULT.numeric), list(P.DEFAULT.categorical)
 CV, CV_FOLDS = 5, list(range(5))
 TREES = boosting.BoostSettings(trees=100, max_depth=3)
-TEXT = models.TextSettings(max_features=200)
+TEXT = models.TextSettings(max_features=5000)
+POINT = textfit.TextPoint(max_features=5000)
 
 
 def role_rows(spark, sf, *names):
@@ -210,23 +211,46 @@ def text_baseline(spark, sf):
 
 @query("text_out_of_fold")
 def text_out_of_fold(spark, sf):
-    """Stratified random folds, the vocabulary refitted in each, one score per row."""
+    """Five stratified random folds, the vocabulary refitted in each, one score per row."""
     docs, counts = text_rows(spark, sf)
-    docs = docs.drop("desc")
-    folded = roles.stratified_folds(docs.select("loan_id", "target"), "loan_id", 2, "text-kfold").persist()
-    members = [folded.select("loan_id", F.lit(f).alias("fold"), F.when(F.col("fold") == f, "holdout").otherwise("fit").alias("part")) for f in range(2)]
-    oof = models.cross_validate_text(docs, counts, members[0].unionByName(members[1]), [0, 1], TEXT)
-    return oof.select("loan_id", "fold", "target", r9("p", 4).alias("p"))
+    folded = roles.stratified_folds(docs.select("loan_id", "target"), "loan_id", CV, "text-kfold")
+    members = textfit.random_members(docs, folded, CV)
+    return textfit.fit_points(docs, {1: counts}, members, [POINT]).select("loan_id", "fold", "target", r9("p", 4).alias("p"))
+
+
+GRID = [textfit.TextPoint(m, n, c, balanced=True) for m in (3000, 5000, 10_000) for n in (1, 2) for c in (0.01, 0.1, 1.0, 10.0)]
 
 
 @query("text_grid")
 def text_grid(spark, sf):
-    """Grid over vocabulary size, n-gram and penalty on time folds, ranked by average precision."""
+    """24 points of vocabulary size, n-gram and penalty on five time folds, ranked by average precision."""
+    docs, counts = text_rows(spark, sf)
+    _, pairs = text_rows(spark, sf, 2)
+    fit = docs.filter("role = 'base_fit'")
+    members = roles.expanding_folds(fit.select("loan_id", "issue_month"), CV, 0.4).select("fold", "part", "loan_id")
+    scored = textfit.fit_points(docs, {1: counts, 2: pairs}, members, GRID)
+    metrics = scoring.evaluate(scored, by=["point", "fold"]).groupBy("point").agg(F.avg("pr_auc").alias("mean"), F.stddev_samp("pr_auc").alias("std"))
+    settings = spark.createDataFrame([(k, p.max_features, p.max_ngram, p.C) for k, p in enumerate(GRID)], "point int, max_features int, max_ngram int, C double")
+    return rounded(models.rank_grid(settings.join(metrics, "point").drop("point")), 4)
+
+
+def variant_rows(spark, sf):
     docs, counts = text_rows(spark, sf)
-    fit = docs.filter("role = 'base_fit'").drop("desc")
-    long = roles.expanding_folds(fit.select("loan_id", "issue_month"), 2, 0.4).persist()
-    base = replace(TEXT, logistic=replace(TEXT.logistic, max_iter=30, tol=1e-5))
-    return rounded(models.text_grid(spark, fit, {1: counts}, long, [0, 1], [50, 100], [1.0], base), 4)
+    folded = roles.stratified_folds(docs.filter("role = 'base_fit'").select("loan_id", "target"), "loan_id", CV, "text-crossfit")
+    return textfit.calibration_variants(docs.select("loan_id", "target", "role"), {1: counts}, folded, CV, POINT, "base_fit", "fusion_calibration", "validation")
+
+
+@query("calibration_variants")
+def calibration_variants(spark, sf):
+    """One text model raw, calibrated out of fold, by a later period, and cross-fitted (a calibrator per fold, averaged)."""
+    out = scoring.evaluate(variant_rows(spark, sf), by=["variant"])
+    return rounded(out.select("variant", "rows", "positives", "mean_p", *scoring.METRICS), 4)
+
+
+@query("variant_sweep")
+def variant_sweep(spark, sf):
+    """The threshold sweep of every calibration variant."""
+    return rounded(scoring.threshold_sweep(variant_rows(spark, sf), [k / 20 for k in range(1, 20)], by=["variant"]), 4)
 
 
 @query("text_score_export")

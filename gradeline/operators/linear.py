@@ -13,6 +13,7 @@ from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeline.functions.columns import logit
 from gradeline.operators.checks import ContractError
 from gradeline.operators.ordering import exact_quantiles
 from gradeline.session import checkpointed
@@ -63,6 +64,10 @@ class Preparation:
         return np.where(y == 1, total / (2 * self.sizes[1]), total / (2 * self.sizes[0])) if balanced else np.ones(len(y))
 
 
+def logit_column(p: str, eps: float) -> Column:
+    return logit(F.col(p), eps)
+
+
 def _number(value: float) -> str:
     return f"({value!r}D)"
 

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.functions.columns import differs, is_probability
-from gradeline.operators import calibration, checks, decisions, fusion, joins, models, roles, scoring
+from gradeline.operators import calibration, checks, decisions, fusion, joins, linear, models, roles, scoring
 from gradeline.operators.resample import paired_deltas
 
 
 def logistic_baseline(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """Fit on train, check the prediction table of both splits, grade them."""
-    model = models.fit_logistic(rows.filter("split = 'train'"), numeric, categorical)
+    model = linear.Logistic(tuple(numeric), tuple(categorical))(rows.filter("split = 'train'"))
     scored = models.score(model, rows).select("loan_id", "split", "target", "p").persist()
     table = fusion.prediction_table(scored, F.col("p"), "logistic_regression", "tabular-logistic-v1")
     checks.enforce(checks.prediction_checks(table, rows), "predictions")
@@ -51,8 +51,11 @@ def candidate_predictions(rows: DataFrame, candidates: Mapping[str, models.Fitte
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster shares through spark.checkpoint.dir; a local one only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradeline-out-")
+    """The folder the cluster shares through spark.checkpoint.dir; a local one only where none is named and the master is local."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured or tempfile.mkdtemp(prefix="gradeline-out-")
 
 
 def reload_equality(fit_rows: DataFrame, rows: DataFrame, fit: models.Fitter, path: str | None = None) -> DataFrame:
