@@ -11,9 +11,14 @@ from gradeline.session import checkpointed
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The distinct values of ``keys`` in sorted order, each with its position as ``name``."""
-    return in_order(checkpointed(rows.select(*keys).distinct()), keys).withColumnRenamed("position", "name")
+RANGE_BYTES = 32 << 20
+
+
+def named(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """The distinct values of ``keys`` (at most ``width`` bytes) in sorted order, each with its position as ``name``; a range of the
+    order holds at most about ``RANGE_BYTES``."""
+    ordered = in_order(checkpointed(rows.select(*keys).distinct()), keys, rows_per_range=max(1, RANGE_BYTES // (width + 16)))
+    return ordered.withColumnRenamed("position", "name")
 
 
 def block_names(parts: DataFrame, block: int = 2048) -> DataFrame:
@@ -27,7 +32,7 @@ def block_names(parts: DataFrame, block: int = 2048) -> DataFrame:
     size = F.greatest(F.ceil(F.octet_length("body") / block), F.lit(1)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.substring(F.col("body"), i * block + 1, F.lit(block)))
     rows = parts.withColumn("count", size).select("uid", "count", F.posexplode(cut).alias("i", "part"))
-    rows = checkpointed(rows.join(named(rows, ["part"]), "part").select("uid", "count", "i", "name"))
+    rows = checkpointed(rows.join(named(rows, ["part"], block), "part").select("uid", "count", "i", "name"))
     done, level = None, 0
     while True:
         ready = rows.where("count = 1").select("uid", F.lit(level).alias("level"), "name")
@@ -40,7 +45,7 @@ def block_names(parts: DataFrame, block: int = 2048) -> DataFrame:
         side = lambda k: F.max(F.when(F.col("i") % 2 == k, F.col("name")))
         pairs = checkpointed(rows.groupBy("uid", "count", half).agg(
             side(0).alias("left"), F.coalesce(side(1), F.lit(-1)).alias("right")))
-        rows = checkpointed(pairs.join(named(pairs, ["left", "right"]), ["left", "right"]).select(
+        rows = checkpointed(pairs.join(named(pairs, ["left", "right"], 16), ["left", "right"]).select(
             "uid", F.ceil(F.col("count") / 2).cast("int").alias("count"), "i", "name"))
 
 

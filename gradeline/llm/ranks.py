@@ -10,14 +10,14 @@ from gradeline.session import checkpointed
 ROWS_PER_RANGE = 500_000
 
 
-def in_order(df: DataFrame, keys: list[str | Column], weight: str | None = None) -> DataFrame:
+def in_order(df: DataFrame, keys: list[str | Column], weight: str | None = None, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``df`` with ``position`` (from 0, long) in the order of ``keys`` and, for ``weight``, ``before``: its sum over all earlier rows.
 
-    ``df`` must be cheap to read again (a stored table). Rows are dealt into ranges of about ``ROWS_PER_RANGE`` rows, sorted and
+    ``df`` must be cheap to read again (a stored table). Rows are dealt into ranges of about ``rows_per_range`` rows (fewer for wide keys), sorted and
     stored, so the cut of the ranges cannot move between the totals and the rows; only one row per range meets in one task. Rows
     that are equal in all keys stand next to each other in either order. Helper columns start with two underscores.
     """
-    parts = max(1, -(-df.count() // ROWS_PER_RANGE))
+    parts = max(1, -(-df.count() // rows_per_range))
     ranged = checkpointed(
         df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
         .withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id()))
