@@ -18,7 +18,9 @@ from gradeline.llm import texts
 from gradeline.session import checkpointed
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-LENGTH, END_ID, OPEN_BINS, PIECES_PER_TASK, CACHED = 2048, 0, 2048, 250_000, 250_000
+LENGTH, END_ID, OPEN_BINS, PIECES_PER_TASK, CACHED = 2048, 0, 2048, 250_000, 500_000
+#: A special token of the tokenizer, and how many words stand between such tokens in one call.
+BETWEEN, RUN = "<|endoftext|>", 256
 
 _MARKS = re.compile("[\u0300-\u036f]").search
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -56,8 +58,23 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.token_to_id(BETWEEN)
         self.known = _Known()
 
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, many in one call: the tokenizer takes a special token out before anything else, so what stands between two
+        is encoded as if alone. Words that may hold a special token are encoded one by one."""
+        alone = [word for word in words if "<|" in word]
+        plain = [word for word in words if "<|" not in word] if alone else words
+        found = {word: np.array(own.ids, "<u4").tobytes() for word, own in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
+        runs = [plain[k:k + RUN] for k in range(0, len(plain), RUN)]
+        for run, own in zip(runs, self.tokenizer.encode_batch_fast([BETWEEN.join(run) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(own.ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == self.between)).tolist()
+            data = ids.tobytes()
+            found.update(zip(run, [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True)], strict=True))
+        return found
+
     def of(self, rows: list[str | None]) -> list[bytes]:
         """32-bit ids of every text, the end id last."""
         words, known = [_split(text) if text else [] for text in rows], self.known
@@ -66,8 +83,7 @@ class WordIds:
         # whose small form ends in a combining mark, which joins the stop.
         stems = {word: word[:-1] if word[-1] in ".," and word[-2:-1].lower().isalpha() else word for word in missing}
         wanted = [stem for stem in {*stems.values(), ".", ","} if stem not in known]
-        found = self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)
-        known.batch = {stem: np.array(own.ids, "<u4").tobytes() for stem, own in zip(wanted, found, strict=True)}
+        known.batch = self._encoded(wanted)
         known.batch |= {word: known[stem] + known[word[-1]] for word, stem in stems.items() if word != stem}
         if len(known) + len(known.batch) <= CACHED:
             known.update(known.batch)

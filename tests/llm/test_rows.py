@@ -349,7 +349,7 @@ def test_words_whose_small_form_holds_a_mark_keep_their_stop(spark):
     tokenizer = Tokenizer.from_file(packing.TOKENIZER)
     rng = np.random.default_rng(5)
     letters = list("abIİıßé\u0307ÅǅΣ.,'A ")
-    rows = ["İ,", "İ.", "aİ,", "Ä°,", *("".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(4000))]
+    rows = ["İ,", "İ.", "aİ,", "Ä°,", "a<|endoftext|>b <|x|>, <|endoftext|>", "<|startoftext|>!", *("".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(4000))]
     got = packing.WordIds(packing.TOKENIZER).of(rows)
     for text, data in zip(rows, got, strict=True):
         assert np.frombuffer(data, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], text
