@@ -269,23 +269,15 @@ def text_top_terms(spark, sf):
     return rounded(terms.top_terms(models.text_coefficients(fitted), 10), 3)
 
 
-@query("batch_scorer", f"""with s as (select conv_id, turn, (length(text) % 1000) / 500.0::double - 1 as m from conversations)
-  select conv_id, turn, {s9('m')} as raw_margin, {s9('1 / (1 + exp(-m))')} as raw_prob from s""")
+@query("batch_scorer")
 def batch_scorer(spark, sf):
-    """A pre-trained text scorer in Arrow batches (here a deterministic stand-in for the model)."""
-
-    def make_scorer():
-        import numpy as np
-
-        def scorer(texts):
-            margins = np.array([(len(t) % 1000) / 500.0 - 1 for t in texts])
-            return margins, 1 / (1 + np.exp(-margins))
-
-        return scorer
-
-    score = models.batch_scorer(make_scorer)
+    """A text model fitted on the labelled texts scores the conversations in Arrow batches, loaded once per worker (a unit
+    test compares it with the model's own scores)."""
+    docs, counts = text_rows(spark, sf)
+    fitted = models.fit_text(docs.filter("role = 'base_fit'").drop("desc"), counts, TEXT)
+    score = models.batch_scorer(models.text_scorer(fitted, STOP, TEXT))
     rows = views.table(spark, sf, "conversations").select("conv_id", "turn", score(F.col("text")).alias("s"))
-    return rows.select("conv_id", "turn", r9("s.raw_margin").alias("raw_margin"), r9("s.raw_prob").alias("raw_prob"))
+    return rows.select("conv_id", "turn", r9("s.raw_margin", 3).alias("raw_margin"), r9("s.raw_prob", 3).alias("raw_prob"))
 
 
 # ---- calibration -----------------------------------------------------------------------------

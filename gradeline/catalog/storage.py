@@ -61,6 +61,19 @@ def score_files(spark, sf):
     return readers.read_scores(spark, as_csv).unionByName(readers.read_scores(spark, as_parquet))
 
 
+@query("candidate_loader", """select 'a' as candidate, case when split = 'validation' then 'validation' else 'calibration' end as "set", loan_id, p_a as p, target, 'logistic_regression' as model_name, 'tabular-v1' as model_version
+  from loans where role in ('fusion_fit', 'fusion_calibration', 'validation')""", "loans")
+def candidate_loader(spark, sf):
+    """C14: one candidate's two score files, a CSV and a Parquet one, checked against the expected ids, with outcomes by id."""
+    rows = views.loans(spark, sf)
+    expected = fusion.expected_ids(rows, {"calibration": ["fusion_fit", "fusion_calibration"], "validation": ["validation"]}).persist()
+    table = fusion.prediction_table(rows.filter(F.col("role").isin("fusion_fit", "fusion_calibration", "validation")), F.col("p_a"), "logistic_regression", "tabular-v1")
+    as_csv, as_parquet = new_path(spark, "candidate") + ".csv", new_path(spark, "candidate") + ".parquet"
+    table.filter("split = 'train'").write.csv(as_csv, header=True)
+    table.filter("split = 'validation'").write.parquet(as_parquet)
+    return fusion.load_candidate("a", {"calibration": readers.read_scores(spark, as_csv), "validation": readers.read_scores(spark, as_parquet)}, expected)
+
+
 @query("parquet_roundtrip", f"select loan_id, role, p_a, {s9('p_b / 3')} as third, 'v1' as feature_version from loans where role is not null", "loans")
 def parquet_roundtrip(spark, sf):
     """Staged write to a location that must be new, read-back verification by key, then swap."""

@@ -109,7 +109,7 @@ def coefficient_table(spark, sf):
         F.count(F.lit(1)).alias("documents"), F.sum("target").alias("_p"))
     odds = lambda p, n: F.ln((1 + p) / (1 + n - p))
     coefs = per_term.join(F.broadcast(totals)).select(
-        "term", "documents", (odds(F.col("_p"), F.col("documents")) - odds(F.col("_pos"), F.col("_n"))).alias("coefficient"))
+        "term", "documents", (odds(F.col("_p"), F.col("documents")) - odds(F.col("_pos"), F.col("_n"))).alias("coefficient")).persist()
     return rows, table, vocab, coefs
 
 

@@ -6,6 +6,7 @@ Everything stays in the JVM but NFKC and character references, which go through
 from __future__ import annotations
 
 import html
+import re
 import sys
 import unicodedata
 from collections.abc import Mapping, Sequence
@@ -40,42 +41,36 @@ SILENT_PATTERN = r"(?is)<(script|style)(?:\s[^>]*)?>.*?(?:</\1\s*>|\z)"
 COMMENT_PATTERN = r"(?s)<!--.*?-->|<![A-Za-z\[][^>]*>|<\?[^>]*>"
 
 
-@F.pandas_udf(StringType())
-def normal_form(values: pd.Series) -> pd.Series:
-    """NFKC of every text."""
-    return values.map(lambda v: v and unicodedata.normalize("NFKC", v))
+# A tag ends at the first ">" outside quoted values; with an unclosed quote, at the first one.
+MARKUP_PATTERN = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|""" + TAG_PATTERN
+_REMOVED = ((SILENT_PATTERN, " "), (COMMENT_PATTERN, ""), (MARKUP_PATTERN, " "))
 
 
 @F.pandas_udf(StringType())
-def decoded(values: pd.Series) -> pd.Series:
-    """Character references replaced by their characters."""
-    return values.map(lambda v: v and html.unescape(v))
-
-
-def _where(needed: Column, apply, text: Column) -> Column:
-    """``apply`` on the rows that need it; other rows reach Python as NULL and keep their text."""
-    return F.coalesce(apply(F.when(needed, text)), text)
-
-
-def normalised(text: Column) -> Column:
-    """NFKC; pure ASCII text stays in the JVM."""
-    return _where(text.rlike(r"[^\x00-\x7F]"), normal_form, text)
+def cleaned_markup(values: pd.Series) -> pd.Series:
+    """NFKC, references decoded, markup removed, references decoded once more, NFKC: one pass for the texts that need Python at all."""
+    patterns = [(re.compile(p.replace(r"\z", r"\Z")), put) for p, put in _REMOVED]
 
+    def clean(text: str) -> str:
+        text = html.unescape(unicodedata.normalize("NFKC", text).strip())
+        for pattern, put in patterns:
+            text = pattern.sub(put, text)
+        return unicodedata.normalize("NFKC", html.unescape(text))
 
-def unescaped(text: Column) -> Column:
-    return _where(F.contains(text, F.lit("&")), decoded, text)
+    return values.map(lambda v: v and clean(v))
 
 
 def clean_markup(value: Column) -> Column:
     """NFKC text without markup; a missing value or marker is the empty string.
 
-    References are decoded before the markup goes (exported fields hold escaped tags) and once more in what is shown.
+    References are decoded before the markup goes (exported fields hold escaped tags) and once more in what is shown. Texts of plain
+    ASCII without a reference stay in the JVM, where the same patterns give the same text.
     """
-    text = strip(normalised(F.coalesce(value, F.lit(""))))
-    shown = unescaped(text)
-    for pattern, put in ((SILENT_PATTERN, " "), (COMMENT_PATTERN, ""), (TAG_PATTERN, " ")):
+    text = strip(F.coalesce(value, F.lit("")))
+    shown = text
+    for pattern, put in _REMOVED:
         shown = F.regexp_replace(shown, pattern, put)
-    shown = normalised(unescaped(shown))
+    shown = F.coalesce(cleaned_markup(F.when(text.rlike(r"[^\x00-\x7F]|&"), text)), shown)
     return F.when(text.isNull() | F.lower(text).isin(*MISSING_MARKERS), "").otherwise(F.coalesce(shown, F.lit("")))
 
 

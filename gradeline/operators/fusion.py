@@ -49,6 +49,27 @@ def expected_ids(rows: DataFrame, sets: Mapping[str, Sequence[str]]) -> DataFram
     return rows.filter("split <> 'test'").select(F.explode(member).alias("set"), "loan_id", "target")
 
 
+def load_candidate(name: str, files: Mapping[str, DataFrame], expected: DataFrame) -> DataFrame:
+    """(candidate, set, loan_id, p, target, model_name, model_version) of one candidate's score files.
+
+    ``expected`` holds (set, loan_id, target). Every file must keep the prediction contract over exactly its set's ids, name its set's
+    split, and all files must share one filled model name and version. Outcomes are attached by id; no file brings any.
+    """
+    parts = []
+    for set_name, table in files.items():
+        own = expected.filter(F.col("set") == set_name)
+        checks.enforce(checks.prediction_checks(table, own), f"{name}, {set_name}")
+        parts.append(table.join(own, "loan_id").select(
+            F.lit(name).alias("candidate"), "set", "loan_id", F.col("p_default_tabular").cast("double").alias("p"), "target", "split", "model_name", "model_version"))
+    rows = reduce(DataFrame.unionByName, parts)
+    named = rows.agg(*[F.count_if(F.coalesce(F.trim(c), F.lit("")) == "").alias(f"empty_{c}") for c in ("model_name", "model_version")],
+                     *[(F.count_distinct(c) - 1).alias(f"several_{c}") for c in ("model_name", "model_version")])
+    splits = rows.groupBy("set").agg(F.count_distinct("split").alias("n")).agg(F.sum(F.col("n") - 1).alias("mixed_split"))
+    checks.enforce(checks.check_rows(named, named.columns), f"{name}, model")
+    checks.enforce(checks.check_rows(splits, ["mixed_split"]), f"{name}, split")
+    return rows.drop("split")
+
+
 def fusion_table(mapping: DataFrame, tracks: Mapping[str, DataFrame]) -> DataFrame:
     """The role mapping with every track's score and version; a missing score raises."""
     return join_scores(mapping, tracks).select(

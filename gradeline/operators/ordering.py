@@ -88,7 +88,7 @@ def global_rank(
     totals = dict(totals or {})
     by = list(by)
     order = [*by, *order]
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or max(1, math.ceil(df.count() / ROWS_PER_RANGE))
     ranged = checkpointed(
         df.repartitionByRange(partitions, *order).withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy(*by, "_range").agg(

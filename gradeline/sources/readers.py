@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gradeline.operators.checks import ContractError, check_rows, missing_columns
 from gradeline.session import small_side
@@ -52,9 +53,12 @@ def descriptions_only(raw: DataFrame, keys: Sequence[str], column: str = "desc",
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV or Parquet score file by suffix, the id as plain text."""
-    reader = spark.read.csv(path, header=True, inferSchema=True) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
-    return reader.withColumn("loan_id", F.col("loan_id").cast("string"))
+    """A CSV or Parquet score file by suffix. The id is read as text, so leading zeros stay; other CSV columns get inferred types."""
+    if not path.rstrip("/").endswith(".csv"):
+        return spark.read.parquet(path).withColumn("loan_id", F.col("loan_id").cast("string"))
+    inferred = spark.read.csv(path, header=True, inferSchema=True).schema
+    typed = StructType([StructField(f.name, StringType() if f.name == "loan_id" else f.dataType) for f in inferred])
+    return spark.read.csv(path, header=True, schema=typed)
 
 
 def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:

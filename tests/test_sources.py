@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from gradeline.operators import checks
+from gradeline.operators import checks, fusion
 from gradeline.sources import manifests, readers, sinks
 
 
@@ -88,3 +88,21 @@ def test_odd_numbers_differ_and_dotted_keys_are_found(spark):
     assert [r[0] for r in rows.select(columns.differs(F.col("a"), F.col("b"), 1e-6, 1e-6)).collect()] == [True] * 4 + [False, False, True]
     value = spark.range(1).select(columns.json_value(F.lit('{"a.b": {"c": 3}}'), "a.b", "c")).first()[0]
     assert value == "3"
+
+
+def test_ids_of_csv_scores_stay_text(spark, tmp_path):
+    path = str(tmp_path / "s.csv")
+    spark.createDataFrame([("00012", 0.5), ("7", 0.25)], "loan_id string, p double").write.csv(path, header=True)
+    assert sorted(map(tuple, readers.read_scores(spark, path).collect())) == [("00012", 0.5), ("7", 0.25)]
+
+
+def test_candidate_files_must_agree(spark):
+    expected = spark.createDataFrame([("calibration", "a", 0), ("calibration", "b", 1), ("validation", "c", 1)], "set string, loan_id string, target int")
+    schema = "loan_id string, split string, p_default_tabular double, model_name string, model_version string"
+    table = lambda rows: spark.createDataFrame(rows, schema)
+    first, second = [("a", "train", 0.1, "m", "v1"), ("b", "train", 0.2, "m", "v1")], [("c", "validation", 0.3, "m", "v1")]
+    rows = fusion.load_candidate("x", {"calibration": table(first), "validation": table(second)}, expected)
+    assert {(r["set"], r["loan_id"], r["p"], r["target"]) for r in rows.collect()} == {("calibration", "a", 0.1, 0), ("calibration", "b", 0.2, 1), ("validation", "c", 0.3, 1)}
+    for bad in ([("c", "validation", 0.3, "m", "v2")], [("c", "validation", 1.3, "m", "v1")], [("d", "validation", 0.3, "m", "v1")], [("c", "validation", 0.3, " ", "v1")]):
+        with pytest.raises(checks.ContractError):
+            fusion.load_candidate("x", {"calibration": table(first), "validation": table(bad)}, expected)

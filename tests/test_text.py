@@ -26,6 +26,7 @@ CLEAN = {
     "Borrower added on 01/01/13 >": "", "I started work on 01/01/13.": "I started work on 01/01/13.",
     "Ｃａｒ repairs": "Car repairs", "a​b\u0007c  d": "ab c d", "x<script>var a = '<b>';</script>y<style>p{}</style>z": "x y z",
     "<p>one</p><p>two</p>": "one two", "3 < 4 and 5 > 2": "3 < 4 and 5 > 2", "&lt;b&gt;bold&lt;/b&gt;": "bold", "<!-- hidden -->shown": "shown",
+    'a<img alt="x > y">b': "a b", "é<a title='>'>c</a>&amp;": "é c &", 'open <b class="q>text': "open text", "ｎ／ａ": "",
 }
 
 
