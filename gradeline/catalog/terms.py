@@ -58,7 +58,7 @@ def tfidf_weights(spark, sf):
 @query("tfidf_sublinear", f"with {tf_sql(2)}, {vocab_sql(K)}, {_TFIDF.format(tf='(1 + ln(tf))')} select doc_id, count(*) as terms, {s9('sum(weight)')} as total_weight, {s9('max(weight)')} as top_weight from n group by doc_id")
 def tfidf_sublinear(spark, sf):
     """Sublinear term frequency over unigrams and bigrams, summarised per document."""
-    table = counts(spark, sf, 2).persist()
+    table = counts(spark, sf, 2)
     weights = terms.tfidf(table, terms.vocabulary(table, documents(spark, sf), K))
     return rounded(weights.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("total_weight"), F.max("weight").alias("top_weight")))
 
@@ -102,8 +102,9 @@ COEF = f"""{TEXT_BASE}, {tf_sql(2, 't', 'role, issue_month, target', '"desc"')},
 
 def coefficient_table(spark, sf):
     rows, table = text_counts(spark, sf, 2)
-    table = table.persist()
-    vocab = terms.vocabulary(table, rows, K)
+    vocab = terms.vocabulary(table, rows, K).persist()
+    # All that follows reads vocabulary terms alone: only these counts are kept, not those of every n-gram.
+    table = table.join(F.broadcast(vocab.select("term")), "term", "left_semi").persist()
     totals = rows.agg(F.sum("target").alias("_pos"), F.count(F.lit(1)).alias("_n"))
     per_term = table.join(F.broadcast(vocab.select("term")), "term", "left_semi").groupBy("term").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("target").alias("_p"))
