@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +47,15 @@ MARKUP_PATTERN = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|""" + TAG_PATT
 _REMOVED = ((SILENT_PATTERN, " "), (COMMENT_PATTERN, ""), (MARKUP_PATTERN, " "))
 
 
-@F.pandas_udf(StringType())
-def cleaned_markup(values: pd.Series) -> pd.Series:
-    """NFKC, references decoded, markup removed, references decoded once more, NFKC: one pass for the texts that need Python at all."""
+_TEXTS_AT_ONCE = 64
+
+
+@F.arrow_udf(StringType())
+def cleaned_markup(values: pa.Array) -> pa.Array:
+    """NFKC, references decoded, markup removed, references decoded once more, NFKC: one pass for the texts that need Python at all.
+
+    A batch holds thousands of pages: beside its Arrow bytes only a few texts at a time are Python strings.
+    """
     patterns = [(re.compile(p.replace(r"\z", r"\Z")), put) for p, put in _REMOVED]
 
     def clean(text: str) -> str:
@@ -57,7 +64,8 @@ def cleaned_markup(values: pd.Series) -> pd.Series:
             text = pattern.sub(put, text)
         return unicodedata.normalize("NFKC", html.unescape(text))
 
-    return values.map(lambda v: v and clean(v))
+    parts = (values.slice(at, _TEXTS_AT_ONCE).to_pylist() for at in range(0, len(values), _TEXTS_AT_ONCE))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([v and clean(v) for v in part], pa.string()) for part in parts)])
 
 
 def clean_markup(value: Column) -> Column:
