@@ -45,18 +45,23 @@ def pages(spark, sf):
     return spread(views.table(spark, sf, "pages"), "page_id")
 
 
-def fields(spark, sf):
-    return documents(spark, sf).select(
+def labelled(spark, sf):
+    """Documents with a label: what is joined to labels later need not be computed for the others."""
+    return documents(spark, sf).join(views.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+def fields(spark, sf, docs=None):
+    return (docs or documents(spark, sf)).select(
         "doc_id", F.concat(F.lit("Note "), "source").alias("title"), F.concat(F.lit("text_"), "lang").alias("purpose"), F.col("text").alias("desc"))
 
 
-def payloads(spark, sf):
+def payloads(spark, sf, docs=None):
     parts = {"title": F.col("title"), "purpose": F.col("purpose"), "desc": C.squeeze(F.col("desc"))}
-    return fields(spark, sf).select("*", X.payload(parts).alias("text_payload"))
+    return fields(spark, sf, docs).select("*", X.payload(parts).alias("text_payload"))
 
 
-def lexical_rows(spark, sf):
-    return X.lexical_features(documents(spark, sf).select("doc_id", "text"), "text", KEYWORDS).drop("text")
+def lexical_rows(spark, sf, docs=None):
+    return X.lexical_features((docs or documents(spark, sf)).select("doc_id", "text"), "text", KEYWORDS).drop("text")
 
 
 @query("payload", f"with {FIELDS} select doc_id, length({PAYLOAD}) as chars, md5({PAYLOAD}) as digest from fields")
@@ -257,7 +262,7 @@ LABELLED = f"{LEX}, feats as (select {LEX_RAW} from lex), rows as (select feats.
 def labelled_lexical(spark, sf):
     labels = views.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("target"))
     purposes = documents(spark, sf).select("doc_id", F.col("source").alias("purpose"))
-    return lexical_rows(spark, sf).join(labels, "doc_id").join(purposes, "doc_id")
+    return lexical_rows(spark, sf, labelled(spark, sf)).join(labels, "doc_id").join(purposes, "doc_id")
 
 
 _CORR = " union all ".join(f"""select '{f}' as feature, {s9(f'corr(target, {f})')} as point_biserial_r, {s9(f'abs(corr(target, {f}))')} as absolute_r,
@@ -311,7 +316,7 @@ def category_summary(spark, sf):
     (select arg_max(f, a) from (select unnest({FEATURES}) as f, unnest([abs(corr(target, flesch_reading_ease)), abs(corr(target, flesch_kincaid_grade)), abs(corr(target, lexical_diversity_ttr)), abs(corr(target, financial_distress_keyword_density))]) as a from j)) as strongest_feature from r""")
 def headline_findings(spark, sf):
     """Headline findings from row and group aggregates."""
-    rows = labelled_lexical(spark, sf).join(lexical.keyword_sources(payloads(spark, sf), KEYWORDS), "doc_id").persist()
+    rows = labelled_lexical(spark, sf).join(lexical.keyword_sources(payloads(spark, sf, labelled(spark, sf)), KEYWORDS), "doc_id").persist()
     return rounded(lexical.headline(rows, FEATURES))
 
 
