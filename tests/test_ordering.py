@@ -101,3 +101,20 @@ def test_null_group_keeps_its_rows(spark):
         assert sorted((r.g or "", r.quantile) for r in medians) == [("", 2.5), ("a", 2.5)]
     ranks = ordering.global_rank(rows, ["x"], {"cum": "n"}, by=["g"]).collect()
     assert sorted((r.g or "", r["rank"]) for r in ranks) == sorted((g, k + 1) for g in ("a", "") for k in range(6))
+
+
+@pytest.mark.parametrize("near", [0.002, 0.2])
+def test_bracketed_medians_equal_plain_ones(spark, near):
+    import random
+    import statistics
+
+    rng = random.Random(9)
+    data = [(k % 3, None if k % 11 == 0 else round(rng.gauss(0, 5), 1), float(k % 2), None if k % 3 == 1 else rng.random()) for k in range(2000)]
+    data += [(7, 1.5, 2.0, None), (7, -4.0, 2.0, None)]
+    rows = spark.createDataFrame(data, "fold int, a double, b double, c double")
+    want = {}
+    for at, name in ((1, "a"), (2, "b"), (3, "c")):
+        for fold in (0, 1, 2, 7):
+            if values := [r[at] for r in data if r[0] == fold and r[at] is not None]:
+                want[fold, name] = pytest.approx(statistics.median(values))
+    assert ordering.exact_medians(rows, ["a", "b", "c"], "fold", near) == want

@@ -112,3 +112,28 @@ def test_constant_feature_is_refused(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 1.0)], "target int, f double")
     with pytest.raises(ValueError, match="constant"):
         lexical.point_biserial(df, ["f"])
+
+
+def test_a_batch_of_pages_is_cleaned_in_small_parts(spark):
+    import pyarrow as pa
+
+    from gradeline.functions import text as X
+
+    pages = [None, "", *(f"<p>caf\u00e9 {k} &amp; more</p>" for k in range(150))]
+    got = X.cleaned_markup.func(pa.array(pages, pa.string()))
+    assert isinstance(got, pa.Array) and got.to_pylist() == [None, "", *(f" caf\u00e9 {k} & more " for k in range(150))]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(pages)], "k int, v string")
+    assert {r["k"]: r["c"] for r in rows.select("k", X.clean_text(F.col("v")).alias("c")).collect()}[151] == "caf\u00e9 149 & more"
+
+
+def test_terms_of_several_fields_wanted_and_distinct(spark):
+    from gradeline.operators import terms
+
+    rows = spark.createDataFrame([(1, "The \u0130X, b_1 b_1 of b_1!", "b_1 x9"), (1, None, ""), (2, "a \u00e9\u00e9\u00e9-\u4e2d\u6587", None)], "k int, t string, u string")
+    counts = sorted((r["k"], r["term"], r["tf"]) for r in terms.term_counts(rows, "t", ["of", "the"], (1, 2), "k").collect())
+    assert [c for c in counts if c[0] == 2] == [(2, "\u00e9\u00e9\u00e9", 1), (2, "\u00e9\u00e9\u00e9 \u4e2d\u6587", 1), (2, "\u4e2d\u6587", 1)]
+    assert (1, "b_1", 3) in counts and (1, "b_1 b_1", 2) in counts and not any("of" in c[1] for c in counts)
+    lists = terms.term_lists(rows, ["t", "u"], ["of"], (1, 1), ["k"], wanted=frozenset(["b_1"]), distinct=True)
+    assert sorted((r["k"], r["terms"], r["tfs"]) for r in lists.collect()) == [(1, [], []), (1, ["b_1", "b_1"], [1, 1]), (2, [], [])]
+    fields = terms.within_fields(rows, ["t", "u"], spark.createDataFrame([("b_1",), ("none",)], "term string"), [], (1, 2))
+    assert {r["term"]: r["within_field_documents"] for r in fields.collect()} == {"b_1": 2, "none": 0}
