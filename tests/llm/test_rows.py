@@ -317,7 +317,7 @@ def test_labeller_gradients():
 
 
 def test_query_columns():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 HAZARDS = {
